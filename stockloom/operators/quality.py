@@ -57,14 +57,14 @@ def profile(df: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     if numbers:
         stats = describe(df, numbers).select(
             F.col("feature").alias("column_name"),
-            *[F.round(c, 4).alias(n) for c, n in (
+            *[F.bround(c, 4).alias(n) for c, n in (
                 ("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "p25"), ("p50", "median"), ("p75", "p75"), ("max", "max"))],
         )
         counts = counts.join(stats, "column_name", "left")
     else:
         counts = counts.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std", "min", "p25", "median", "p75", "max")})
     return counts.withColumns({
-        "null_pct": F.round(ratio(F.col("null_count"), F.col("n_rows")) * 100, 2),
+        "null_pct": F.bround(ratio(F.col("null_count"), F.col("n_rows")) * 100, 2),
         "is_numeric": F.col("column_name").isin(numbers),
     })
 
@@ -86,7 +86,7 @@ def top_values(df: DataFrame, frequencies: DataFrame | None = None) -> DataFrame
     ranked = freq.join(narrow, "column_name").withColumn("position", F.row_number().over(w))
     return ranked.where(F.col("position") <= TOP_VALUES).select(
         "column_name", "position", "value", F.col("copies").alias("n"),
-        F.round(ratio(F.col("copies"), F.col("_n")) * 100, 2).alias("pct"),
+        F.bround(ratio(F.col("copies"), F.col("_n")) * 100, 2).alias("pct"),
     )
 
 
@@ -109,8 +109,8 @@ def findings(df: DataFrame) -> DataFrame:
         ("Near-constant", number & (c("std") == 0), F.lit("Standard deviation is zero")),
         ("Potential outliers", number & (iqr > 0) & ((c("max") - c("p75") > 3 * iqr) | (c("p25") - c("min") > 3 * iqr)),
          F.lit("Values beyond 3*IQR from quartiles")),
-        ("High right skew", skewable & (right > 2), F.concat(F.lit("mean/median = "), F.round(right, 2).cast("string"))),
-        ("High left skew", skewable & (left > 2), F.concat(F.lit("median/mean = "), F.round(left, 2).cast("string"))),
+        ("High right skew", skewable & (right > 2), F.concat(F.lit("mean/median = "), F.bround(right, 2).cast("string"))),
+        ("High left skew", skewable & (left > 2), F.concat(F.lit("median/mean = "), F.bround(left, 2).cast("string"))),
         ("Possible ID/free-text", ~number & (unique_share > 0.9),
          F.concat(F.lit("n_unique/n_rows > 0.9 ("), c("n_unique"), F.lit("/"), c("n_rows"), F.lit(")"))),
         ("Mis-typed numeric", ~number & (c("n_unique") <= 5) & hinted,

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from stockloom.plans import q_blocks, q_facts, q_quality  # noqa: F401
+from stockloom.plans import q_blocks, q_facts, q_market, q_quality, q_temporal  # noqa: F401
 from stockloom.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -71,3 +71,14 @@ def tidy(df: DataFrame) -> DataFrame:
         else:
             cells.append(c)
     return df.select(*cells)
+
+
+def sparse_full_years(spark, folder) -> DataFrame:
+    """Demand per SKU and month with its attributes, empty months of a SKU included.
+
+    Yearly shares and growth need the years in which a SKU sold nothing.
+    """
+    dims = ["item_code", *facts.GOODS]
+    summed = sparse_demand(spark, folder).groupBy(*dims, "year_month").agg(
+        F.sum("gross_sales").alias("gross_sales"), F.sum("gross_quantity").alias("gross_quantity"))
+    return facts.fill_months(summed, dims, bounds(spark, folder), {"gross_sales": 0, "gross_quantity": 0})
