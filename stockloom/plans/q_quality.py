@@ -40,7 +40,7 @@ def _profile_sql():
                 ("p75", f"round(quantile_cont({c}::DOUBLE, 0.75), 4)"), ("max", f"round(max({c})::DOUBLE, 4)"))
         ) if number else ", ".join(f"NULL::DOUBLE AS {n}" for n in ("mean", "std", "min", "p25", "median", "p75", "max"))
         parts.append(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_unique, "
-                     f"{stats}, format('{{:.2f}}', (count(*) - count({c}))::DOUBLE / count(*) * 100)::DOUBLE AS null_pct, {str(number).upper()} AS is_numeric FROM profiled")
+                     f"{stats}, round(CAST(CAST((count(*) - count({c}))::DOUBLE / count(*) * 100 AS VARCHAR) AS DECIMAL(38,18)), 2)::DOUBLE AS null_pct, {str(number).upper()} AS is_numeric FROM profiled")
     return " UNION ALL ".join(parts)
 
 
@@ -59,7 +59,7 @@ TEXTS = [c for c, number in COLUMNS.items() if not number]
 TOP_CTE = "freq AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM profiled GROUP BY 2" for c in TEXTS) + """),
 top AS (SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value NULLS LAST) AS position, value, n,
- format('{:.2f}', n::DOUBLE / sum(n) OVER (PARTITION BY column_name) * 100)::DOUBLE AS pct, count(value) OVER (PARTITION BY column_name) AS u FROM freq)"""
+ round(CAST(CAST(n::DOUBLE / sum(n) OVER (PARTITION BY column_name) * 100 AS VARCHAR) AS DECIMAL(38,18)), 2)::DOUBLE AS pct, count(value) OVER (PARTITION BY column_name) AS u FROM freq)"""
 
 
 @query("dq1_top_values", f"WITH {PROFILED}, {TOP_CTE} SELECT column_name, position, value, n, pct FROM top WHERE u <= 50 AND position <= 30")
