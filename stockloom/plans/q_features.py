@@ -196,22 +196,33 @@ j AS (SELECT br.year_month, br.product_category, price_per_unit_roll_3m, ln(1 +
 
 
 def base_and_outlets(spark, d):
-    """Training rows with their segment, and the outlet features they were built from."""
+    """Training rows with their segment, and the outlet features they were built from.
+
+    Outlet features and segments are written first: small tables of known size,
+    so Spark decides by their size whether to broadcast them to the grid.
+    """
     outlets = stage(i.outlets(spark, d))
-    rows = ft.base_rows(grid(spark, d), rule_clusters(outlets), START, END)
+    rows = ft.base_rows(grid(spark, d), stage(rule_clusters(outlets)), START, END)
     return ft.time_features(rows, 1995), outlets
 
 
-def seasonal_lookup(spark, d):
-    demand = i.sparse_demand(spark, d)
+def lookups(spark, d):
+    """SKU and seasonal lookup tables, written once; the demand they share is written too."""
+    demand = stage(i.sparse_demand(spark, d))
+    bounds = i.bounds(spark, d)
+    continuity = pf.sku_continuity(demand, bounds)
+    stats = classify.activity_and_cv(facts.national_sku_demand(demand), classify.month_count(bounds))
+    classes = classify.classify(stats).select("item_code", "demand_class")
     pairs = demand.select(*facts.PAIR).distinct().groupBy("item_code").agg(F.count("*").alias("n_pairs"))
-    return ft.seasonal_index_of_sparse(demand, pairs, START, END)
+    sku = ft.enriched_sku(continuity, classes, COLLAPSE, GROWTH)
+    return stage(sku), stage(ft.seasonal_index_of_sparse(demand, pairs, START, END))
 
 
 def joined(spark, d):
     rows, outlets = base_and_outlets(spark, d)
     base = ft.lag_rolling_features(rows).withColumn("_category", F.col("product_category"))
-    out = ft.join_features(base, outlets, sku_lookup(spark, d), seasonal_lookup(spark, d), RATES, ["_category"])
+    sku, seasonal = lookups(spark, d)
+    out = ft.join_features(base, outlets, sku, seasonal, RATES, ["_category"])
     return out.withColumnRenamed("_category", "product_category")
 
 
@@ -256,5 +267,6 @@ def _(spark, d):
     rows, _outlets = base_and_outlets(spark, d)
     wide = ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows)))
     active = red.active_rows(wide)
-    out = active.join(sku_lookup(spark, d), "item_code", "left").join(seasonal_lookup(spark, d), ["item_code", "month_int"], "left")
+    sku, seasonal = lookups(spark, d)
+    out = active.join(sku, "item_code", "left").join(seasonal, ["item_code", "month_int"], "left")
     return digest(out, KEYS, list(MATRIX))
