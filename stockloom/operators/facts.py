@@ -78,10 +78,24 @@ def month_spine(df: DataFrame) -> DataFrame:
     return month_bounds(df).select(months.alias("_m")).select(month_text(F.col("_m")).alias("year_month"))
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+
+    The explode that fills the months multiplies the rows after the shuffle.
+    Without a fixed number, partitions would be merged by their size before the
+    explode and a few tasks would build the whole grid.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fill_months(
-    sparse: DataFrame, keys: list[str], bounds: DataFrame, defaults: dict[str, Column | int | str]
+    sparse: DataFrame, keys: list[str], bounds: DataFrame, defaults: dict[str, Column | int | str], wide: bool = False
 ) -> DataFrame:
-    """Zero-fill monthly series between the bounds (one-row frame of two dates)."""
+    """Zero-fill monthly series between the bounds (one-row frame of two dates).
+
+    ``wide`` keeps the full parallelism for tables with very many series.
+    """
+    sparse = spread(sparse, keys) if wide else sparse
     series = Window.partitionBy(*keys).orderBy("year_month")
     types = dict(sparse.dtypes)
     walked = (
@@ -96,7 +110,7 @@ def fill_months(
             "_to": F.coalesce(F.add_months(first_of(F.col("_next")), -1), F.col("last_month")),
         })
     )
-    spread = walked.withColumn("_m", F.explode(F.expr("sequence(_from, _to, interval 1 month)")))
+    filled = walked.withColumn("_m", F.explode(F.expr("sequence(_from, _to, interval 1 month)")))
     real = F.col("_m") == F.col("_here")
     cells = []
     for c in sparse.columns:
@@ -107,7 +121,7 @@ def fill_months(
             cells.append(F.when(real, F.coalesce(F.col(c), empty)).otherwise(empty).alias(c))
         else:
             cells.append(F.col(c))
-    return spread.select(*cells)
+    return filled.select(*cells)
 
 
 # -- outlet x SKU -------------------------------------------------------------
@@ -140,7 +154,7 @@ def pair_months(base: DataFrame) -> DataFrame:
     """
     dims = [c for c in PLACE + GOODS if c in base.columns]
     # grouping by the attributes keeps strings out of the aggregation buffers
-    summed = base.groupBy(*PAIR, "year_month", *dims).agg(*[c.alias(n) for n, c in line_measures().items()])
+    summed = spread(base.groupBy(*PAIR, "year_month", *dims).agg(*[c.alias(n) for n, c in line_measures().items()]), PAIR)
     pair = Window.partitionBy(*PAIR)
     sold = summed.select(
         *PAIR, "year_month", *DEMAND,
@@ -196,7 +210,7 @@ def outlet_monthly_activity(base: DataFrame, bounds: DataFrame | None = None) ->
     """Every outlet x every month, with the modal payment term."""
     bounds = month_bounds(base) if bounds is None else bounds
     defaults = {**{c: 0 for c in ACTIVITY}, "primary_payment_term": "unknown"}
-    filled = fill_months(outlet_months(base), ["outlet_id"], bounds, defaults)
+    filled = fill_months(outlet_months(base), ["outlet_id"], bounds, defaults, wide=True)
     return filled.join(home_attributes(base, ["outlet_id"], PLACE), "outlet_id", "left")
 
 

@@ -109,36 +109,62 @@ def time_features(df: DataFrame, base_year: int = 2015, peak: int = 10, trough:
     })
 
 
-def window_std(value: Column, n: int) -> Column:
-    """Trailing sample deviation of whole numbers from exact sums; NULL below two rows."""
-    w = _last(n)
-    k, s, q = F.count(value).over(w), F.sum(value).over(w), F.sum(value * value).over(w)
-    spread = (k * q - s * s).cast("double")
-    return F.when(k > 1, F.sqrt(F.try_divide(spread, (k * (k - 1)).cast("double"))))
+def _with_running(df: DataFrame, adds: dict[str, Column]) -> DataFrame:
+    """Running totals ``_run_<name>`` from the start of each series.
+
+    A trailing sum over n months is then one subtraction (:func:`_rolled`): every
+    row is added once instead of once per frame it falls into. Whole numbers and
+    decimals keep this exact.
+    """
+    upto = _series().rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"_run_{n}": F.sum(c).over(upto) for n, c in adds.items()})
+
+
+def _rolled(name: str, n: int, upto: int = 0) -> Column:
+    """Trailing sum of ``n`` months that ends ``upto`` months back."""
+    w = _series()
+    c = F.col(f"_run_{name}")
+    end = F.lag(c, upto).over(w) if upto else c
+    return F.coalesce(end, F.lit(0)) - F.coalesce(F.lag(c, n + upto).over(w), F.lit(0))
 
 
 def lag_rolling_features(df: DataFrame) -> DataFrame:
-    """Lags, rolling statistics, trend, return and price features."""
+    """Lags, rolling statistics, trend, return and price features.
+
+    The rows are a zero-filled grid: quantities and sales are never NULL.
+    """
     w = _series()
     q, ret = F.col("net_quantity"), F.col("return_quantity")
     shipped = F.col("gross_quantity") + ret
     sales = F.col("net_sales")
+    running = _with_running(df, {
+        "rows": F.lit(1).cast("bigint"), "qty": q, "sq": q * q, "nonzero": (q > 0).cast("bigint"),
+        "ret": ret, "shipped": shipped, "sales": sales,
+    })
     first = {}
     for n in LAGS:
         first[f"lag_qty_{n}m"] = F.lag(log1p_or_null(q), n).over(w)
         first[f"lag_sales_{n}m"] = F.lag(log1p_or_null(sales), n).over(w)
     for n in (3, 6, 12):
-        first[f"roll_mean_qty_{n}m"] = F.avg(q).over(_last(n))
-        first[f"roll_std_qty_{n}m"] = window_std(q, n)
-        # decimal sums are exact; the division happens once, on doubles
-        first[f"roll_mean_sales_{n}m"] = F.sum(sales).over(_last(n)).cast("double") / F.count(sales).over(_last(n))
-        first[f"roll_nonzero_count_{n}m"] = F.count_if(q > 0).over(_last(n))
-    first["roll_std_sales_6m"] = F.stddev_samp(sales.cast("double")).over(_last(6))
+        first[f"roll_nonzero_count_{n}m"] = _rolled("nonzero", n)
+        for name in ("qty", "sq", "sales"):
+            first[f"_{name}_{n}"] = _rolled(name, n)
     for n in (3, 6):
-        first[f"_ret_{n}"] = F.sum(ret).over(_last(n))
-        first[f"_shipped_{n}"] = F.sum(shipped).over(_last(n))
+        first[f"_ret_{n}"], first[f"_shipped_{n}"] = _rolled("ret", n), _rolled("shipped", n)
+    first["roll_std_sales_6m"] = F.stddev_samp(sales.cast("double")).over(_last(6))
     first["_q1"], first["_q6"], first["_q12"] = (F.lag(q, n).over(w) for n in (1, 6, 12))
-    rolled = df.withColumns(first)
+    rolled = running.withColumns(first)
+
+    means = {}
+    for n in (3, 6, 12):
+        k = F.least(F.col("_run_rows"), F.lit(n))
+        s, sq = F.col(f"_qty_{n}"), F.col(f"_sq_{n}")
+        means[f"roll_mean_qty_{n}m"] = s.cast("double") / k
+        means[f"roll_mean_sales_{n}m"] = F.col(f"_sales_{n}").cast("double") / k
+        # sample deviation from exact whole-number sums; NULL below two rows
+        spread = (k * sq - s * s).cast("double")
+        means[f"roll_std_qty_{n}m"] = F.when(k > 1, F.sqrt(F.try_divide(spread, (k * (k - 1)).cast("double"))))
+    averaged = rolled.withColumns(means)
 
     def over(top: str, bottom: str) -> Column:
         return F.col(top) / (F.col(bottom) + EPS)
@@ -154,7 +180,7 @@ def lag_rolling_features(df: DataFrame) -> DataFrame:
         "roll_return_rate_6m": over("_ret_6", "_shipped_6"),
         "price_per_unit": sales.cast("double") / F.greatest(q, F.lit(1)),
     }
-    return rolled.withColumns(second).drop("_ret_3", "_ret_6", "_shipped_3", "_shipped_6", "_q1", "_q6", "_q12")
+    return averaged.withColumns(second).drop(*[c for c in averaged.columns if c.startswith("_") and c not in df.columns])
 
 
 ZERO_COLUMNS = ["months_since_last_purchase", "consecutive_zeros", "demand_event_rate_6m", "demand_event_rate_12m"]
@@ -168,23 +194,25 @@ def add_zero_inflation(df: DataFrame, exclude_current: bool = False) -> DataFram
     zero run before the first sale starts at 0.
     """
     w = _series()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     event = F.col("net_quantity") > 0
-    marked = df.withColumns({"_e": event.cast("double"), "_pos": F.row_number().over(w) - 1})
-    last = F.last(F.when(event, F.col("_pos")), ignorenulls=True).over(upto)
-    since = F.col("_pos") - F.col("_last")
+    marked = _with_running(df, {"rows": F.lit(1).cast("bigint"), "event": event.cast("bigint")})
+    pos = F.col("_run_rows") - 1
+    # the position of the last sale never decreases, so a running maximum finds it
+    last = F.max(F.when(event, pos)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    since = pos - F.col("_last")
 
     def rate(n: int) -> Column:
-        return F.avg("_e").over(w.rowsBetween(-n, -1) if exclude_current else w.rowsBetween(1 - n, 0))
+        past = F.col("_run_rows") - (1 if exclude_current else 0)
+        return F.try_divide(_rolled("event", n, int(exclude_current)).cast("double"), F.least(past, F.lit(n)).cast("double"))
 
     # a run starts at its sale, so its position is the distance to the last sale
-    run = F.coalesce(since, F.col("_pos"))
+    run = F.coalesce(since, pos)
     return marked.withColumns({
         "_last": last, "demand_event_rate_6m": rate(6), "demand_event_rate_12m": rate(12),
     }).withColumns({
         "months_since_last_purchase": since.cast("bigint"),
         "consecutive_zeros": F.when(F.col("net_quantity") == 0, run).otherwise(0).cast("bigint"),
-    }).drop("_e", "_pos", "_last")
+    }).drop("_run_rows", "_run_event", "_last")
 
 
 def zero_inflation_features(df: DataFrame, exclude_current: bool = False) -> DataFrame:
