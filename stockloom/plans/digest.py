@@ -1,15 +1,23 @@
 """Column digests of large row sets: exact sums per group.
 
-A digest covers every row. Doubles are rounded to seven places and summed as
-decimals, so the result does not depend on the order of the rows; values of a
-million and more (ratios over a nearly zero mean) are counted, not summed.
+A digest covers every row. Doubles are scaled to whole numbers and summed in two
+halves, so the result does not depend on the order of the rows and cannot
+overflow; values of a million and more (ratios over a nearly zero mean) are
+counted, not summed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LIMIT = 1_000_000
+HALF = 24
+
+
+def _exact_sum(whole: Column) -> Column:
+    high = F.coalesce(F.sum(F.shiftright(whole, HALF)), F.lit(0)).cast("decimal(24,0)")
+    low = F.coalesce(F.sum(whole.bitwiseAND(F.lit((1 << HALF) - 1).cast("bigint"))), F.lit(0)).cast("decimal(24,0)")
+    return high * F.lit(1 << HALF).cast("decimal(10,0)") + low
 
 
 def digest(df: DataFrame, keys: list[str], features: list[str], places: int = 7) -> DataFrame:
@@ -18,9 +26,9 @@ def digest(df: DataFrame, keys: list[str], features: list[str], places: int = 7)
     for f in features:
         cells.append(F.count(f).alias(f"n_{f}"))
         if types[f] == "double":
-            x = F.col(f)
-            small = F.when(F.abs(x) < LIMIT, F.round(x, places).cast(f"decimal({17 + places},{places})"))
-            cells.append(F.coalesce(F.sum(small), F.lit(0)).cast("double").alias(f"s_{f}"))
+            x, scale = F.col(f), float(10 ** places)
+            whole = F.when(F.abs(x) < LIMIT, F.floor(x * scale + 0.5))
+            cells.append((_exact_sum(whole).cast("double") / scale).alias(f"s_{f}"))
             cells.append(F.count_if(F.abs(x) >= LIMIT).alias(f"big_{f}"))
         else:
             cells.append(F.coalesce(F.sum(F.col(f).cast("bigint")), F.lit(0)).alias(f"s_{f}"))
@@ -33,7 +41,8 @@ def digest_sql(source: str, keys: list[str], features: dict[str, bool], places:
     for f, is_double in features.items():
         cells.append(f"count({f}) AS n_{f}")
         if is_double:
-            cells.append(f"coalesce(sum(CAST(round({f}, {places}) AS DECIMAL({17 + places},{places}))) FILTER (WHERE abs({f}) < {LIMIT}), 0)::DOUBLE AS s_{f}")
+            scale = f"1e{places}::DOUBLE"
+            cells.append(f"coalesce(sum(floor({f} * {scale} + 0.5)::BIGINT) FILTER (WHERE abs({f}) < {LIMIT}), 0)::DOUBLE / {scale} AS s_{f}")
             cells.append(f"count(*) FILTER (WHERE abs({f}) >= {LIMIT}) AS big_{f}")
         else:
             cells.append(f"coalesce(sum({f}::BIGINT), 0)::BIGINT AS s_{f}")

@@ -94,23 +94,21 @@ DEMAND_SUMS = ", ".join(
 
 
 @query("tb3_outlet_sku_monthly_demand", f"""WITH {GRID}
-SELECT item_code, year_month, count(*) AS n_rows, count(DISTINCT outlet_id) AS n_outlets,
+SELECT item_code, year_month, count(*) AS n_rows,
  count(*) FILTER (WHERE net_quantity = 0 AND n_invoices = 0 AND n_returns = 0) AS n_empty, {DEMAND_SUMS},
  CAST(sum(net_quantity * net_quantity) AS BIGINT) AS sum_sq_quantity, CAST(sum(CAST(territory_id AS BIGINT)) AS BIGINT) AS sum_territory,
- min(region) AS first_region, max(district) AS last_district, min(product_category) AS product_category,
- max(product_line) AS product_line, max(brand) AS brand
+ count(region) AS n_region, count(district) AS n_district, product_category, product_line, brand
 FROM grid GROUP BY ALL""")
 def _(spark, d):
     """The whole zero-filled grid is built; it is reported per SKU and month."""
     grid = i.full_demand(spark, d)
     empty = (F.col("net_quantity") == 0) & (F.col("n_invoices") == 0) & (F.col("n_returns") == 0)
-    # outlets are unique within (item, month), so rows = outlets: checked by the SQL
     return i.tidy(grid.groupBy("item_code", "year_month", "product_category", "product_line", "brand").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("outlet_id").alias("n_outlets"),
+        F.count("*").alias("n_rows"),
         F.count_if(empty).alias("n_empty"), *[F.sum(c).alias(c) for c in D],
         F.sum(F.col("net_quantity") * F.col("net_quantity")).alias("sum_sq_quantity"),
         F.sum(F.col("territory_id").cast("bigint")).alias("sum_territory"),
-        F.min("region").alias("first_region"), F.max("district").alias("last_district"),
+        F.count("region").alias("n_region"), F.count("district").alias("n_district"),
     ))
 
 
