@@ -97,6 +97,19 @@ def base_rows(demand: DataFrame, clusters: DataFrame, start: str, end: str) -> D
     return joined.where(F.col("cluster_definition").isin(*CLUSTER_CODES))
 
 
+def base_grid(sparse: DataFrame, clusters: DataFrame, bounds: DataFrame, start: str, end: str) -> DataFrame:
+    """:func:`base_rows` from non-zero months.
+
+    Segments are joined and other outlets dropped before the months are filled,
+    so the join moves the small table only.
+    """
+    from stockloom.operators.facts import DEMAND, fill_months
+
+    kept = sparse.join(clusters.select("outlet_id", "cluster_definition"), "outlet_id").where(
+        F.col("cluster_definition").isin(*CLUSTER_CODES))
+    return in_window(fill_months(kept, PAIR, bounds, {c: 0 for c in DEMAND}, wide=True), start, end)
+
+
 def time_features(df: DataFrame, base_year: int = 2015, peak: int = 10, trough: int = 4) -> DataFrame:
     year, month = year_of(F.col("year_month")), month_of(F.col("year_month"))
     waves = {}

@@ -96,7 +96,7 @@ GRID_CLUSTERS = f"{GRID}, {CLUSTERS[CLUSTERS.index('term_rank AS'):]}"
 @query("ft4_base_rows", f"""WITH {GRID_CLUSTERS} SELECT cluster_definition, year_month, count(*) AS n_rows, count(DISTINCT outlet_id) AS n_outlets, sum(net_quantity)::BIGINT AS net_quantity
  FROM grid JOIN clusters USING (outlet_id) WHERE year_month BETWEEN '{START}' AND '{END}' AND cluster_definition <> 'Churned' GROUP BY ALL""")
 def _(spark, d):
-    rows = base_and_outlets(spark, d)[0]
+    rows = ft.base_rows(grid(spark, d), stage(rule_clusters(stage(i.outlets(spark, d)))), START, END)
     per_outlet = rows.groupBy("cluster_definition", "year_month", "outlet_id").agg(F.count("*").alias("n"), F.sum("net_quantity").alias("q"))
     return per_outlet.groupBy("cluster_definition", "year_month").agg(
         F.sum("n").alias("n_rows"), F.count("*").alias("n_outlets"), F.sum("q").alias("net_quantity"))
@@ -202,7 +202,7 @@ def base_and_outlets(spark, d):
     so Spark decides by their size whether to broadcast them to the grid.
     """
     outlets = stage(i.outlets(spark, d))
-    rows = ft.base_rows(grid(spark, d), stage(rule_clusters(outlets)), START, END)
+    rows = ft.base_grid(i.sparse_demand(spark, d), stage(rule_clusters(outlets)), i.bounds(spark, d), START, END)
     return ft.time_features(rows, 1995), outlets
 
 
