@@ -42,7 +42,7 @@ def digest_sql(source: str, keys: list[str], features: dict[str, bool], places:
         cells.append(f"count({f}) AS n_{f}")
         if is_double:
             scale = f"1e{places}::DOUBLE"
-            cells.append(f"coalesce(sum(floor({f} * {scale} + 0.5)::BIGINT) FILTER (WHERE abs({f}) < {LIMIT}), 0)::DOUBLE / {scale} AS s_{f}")
+            cells.append(f"coalesce(sum(CASE WHEN abs({f}) < {LIMIT} THEN TRY_CAST(floor({f} * {scale} + 0.5) AS BIGINT) END), 0)::DOUBLE / {scale} AS s_{f}")
             cells.append(f"count(*) FILTER (WHERE abs({f}) >= {LIMIT}) AS big_{f}")
         else:
             cells.append(f"coalesce(sum({f}::BIGINT), 0)::BIGINT AS s_{f}")
