@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.clean import ratio
-from stockloom.operators.ordering import global_rank, quantiles, quantiles_long, running_totals
+from stockloom.operators.ordering import quantiles, quantiles_long, running_totals
 
 
 # -- joins --------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stockloom.operators import classify, facts
 from stockloom.plans import inputs as i
 from stockloom.plans.registry import query
-from stockloom.plans.sqlparts import ACTIVITY, BASE, CASH, GRID, LINES, OUTLETS, TERRITORY
+from stockloom.plans.sqlparts import ACTIVITY, BASE, GRID, LINES, OUTLETS, TERRITORY
 from stockloom.sources import adapter
 
 D = facts.DEMAND

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 from stockloom.operators import features as ft, metrics as mt, modeling as ml, reduce as red
 from stockloom.plans import inputs as i
 from stockloom.plans.q_blocks import r4, scratch
-from stockloom.plans.q_features import KEYS, base_and_outlets, lookups
+from stockloom.plans.q_features import base_and_outlets, lookups
 from stockloom.plans.registry import query
 from stockloom.plans.sqlparts import GRID
 from stockloom.sources import io
