@@ -10,19 +10,14 @@ from stockloom.plans.q_facts import delivered_lines
 from stockloom.plans.registry import query
 from stockloom.plans.sqlparts import BASE, GRID
 from stockloom.sources import adapter, io
-from stockloom.sources.staging import stage_root
+from stockloom.sources.staging import stage_path
 
 T = adapter.table
 
 
 def scratch(spark, name):
     """A new path in the stage folder."""
-    import uuid
-
-    root = stage_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return f"{root}/{uuid.uuid4().hex}/{name}"
+    return f"{stage_path(spark, 'scratch')}/{name}"
 
 
 # -- sources and sinks --------------------------------------------------------
