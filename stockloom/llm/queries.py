@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import decontaminate, outliers, shards, url_rules
+import public_tokenizers
+
+from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, url_rules
 from stockloom.llm.common import table
 
 QUERIES = {}
@@ -22,12 +24,24 @@ def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(table(spark, d, "pages"), table(spark, d, "labels")).drop("url")
 
 
+@query
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return language.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     out = outliers.judge(table(spark, d, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@query
+def op5_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, d, "documents"), shingle=4, radius=4)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -43,3 +57,8 @@ def op9_sharding(spark: SparkSession, d: str) -> DataFrame:
     grown = tree.grown(shards.Leaf(40, "region1", "rack7"))
     out = shards.assign(rows, "doc_id", tree, grown, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op10_sentencepiece_nbest(spark: SparkSession, d: str) -> DataFrame:
+    return nbest.digest(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
