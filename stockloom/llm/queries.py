@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, url_rules
-from stockloom.llm.common import table
+from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, token_blocks, url_rules
+from stockloom.llm.common import stage_path, table
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
@@ -24,6 +24,13 @@ def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_rules.judge(table(spark, d, "pages"), table(spark, d, "labels")).drop("url")
 
 
+@query
+def op2_token_blocks(spark: SparkSession, d: str) -> DataFrame:
+    path = stage_path(spark, "tokens")
+    token_blocks.write_tokens(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_blocks.token_digests(spark, path)
+
+
 @query
 def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
