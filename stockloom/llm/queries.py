@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, token_blocks, url_rules
+from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, suffixes, token_blocks, url_rules
 from stockloom.llm.common import stage_path, table
 
 QUERIES = {}
@@ -49,6 +49,11 @@ def op5_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, d, "documents"), digest=True)
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
