@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, shards, simhash, suffixes, token_blocks, url_rules
+from stockloom.llm import decontaminate, language, nbest, outliers, perplexity, shards, simhash, suffixes, token_blocks, url_rules
 from stockloom.llm.common import stage_path, table
 
 QUERIES = {}
@@ -61,6 +61,11 @@ def op7_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return perplexity.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op9_sharding(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
