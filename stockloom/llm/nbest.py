@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+RUNS = re.compile(" *[^ ]+| +")
 #: Stands for a SPACE sign of the text itself, which becomes bytes. (A text with this noncharacter decodes it as that sign.)
 LITERAL = "\U0010ffff"
 #: A character without a piece costs this more than the worst piece.
@@ -202,8 +203,8 @@ def _after(choice, open_, parts):
 class Table(dict):
     """Numbers of chunks, and by number their best pieces, score and loss of the runner-up.
 
-    A key is the chunk without its space mark, or with LITERAL before it at the
-    start of a text. Unknown chunks are searched when they are looked up.
+    A key is the chunk without its one space, or with LITERAL before it where it has
+    none or several. Unknown chunks are searched when they are looked up.
     """
 
     def __init__(self, pieces: Pieces):
@@ -224,11 +225,14 @@ class Table(dict):
 
     def encode(self, text: str) -> tuple[np.ndarray, float, float]:
         """Best ids, their score, and the runner-up's score (-inf if there is none)."""
-        words = text.split(" ")
-        if "" in words or not self.pieces.separable:  # runs of spaces, or a space at an end
+        if not text or not self.pieces.separable:
             ways = self.pieces.encode(text, 2)
             return np.array(ways[0][1], np.int32), ways[0][0], ways[1][0] if len(ways) > 1 else -math.inf
-        words[0] = LITERAL + words[0]
+        words = text.split(" ")
+        if "" in words:  # runs of spaces, or a space at an end
+            words = [c[1:] if c[0] == " " and c[1:2] not in (" ", "") else LITERAL + c for c in RUNS.findall(text)]
+        else:
+            words[0] = LITERAL + words[0]
         if len(self) > KEPT:
             self.__init__(self.pieces)
         n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -275,6 +279,10 @@ def segment(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
     def rows(text: str | None):
         if text is None:
             return None, None, None, None
+        if n == 2:
+            table = _table(model.value)
+            ids, score, following = table.encode(text)
+            return ids, score, following if following > -math.inf else None, table.decoded(ids).decode("utf-8", "surrogatepass")
         pieces = _pieces(model.value)
         ways = pieces.encode(text, n)
         return ways[0][1], ways[0][0], ways[n - 1][0] if len(ways) >= n else None, pieces.decode(ways[0][1])

@@ -16,7 +16,9 @@ for one task are hashed a second time before they are dealt out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,32 +36,39 @@ SPLIT = 1_000_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if set in over half of the shingles' XXH64 (seed 42)."""
+def fingerprint(text: bytes | None, shingle: int, longs: int = 1) -> list[int]:
+    """Fingerprint of 64 or 128 bits as signed longs: a bit is 1 if set in over half of the shingles' hashes.
+
+    The hash is XXH64 with seed 42 for one long, XXH3's 128 bits for two. Shingles are runs
+    of ``shingle`` words joined by spaces; fewer words are one shingle, none give zeros.
+    """
     w = (text or b"").lower().split()  # on bytes: A-Z, and white space \x20 and \x09-\x0D only
     if not w:
-        return 0
-    total, n = np.zeros(64, np.int64), max(1, len(w) - shingle + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
+        return [0] * longs
+    total, n = np.zeros(64 * longs, np.int64), max(1, len(w) - shingle + 1)
+    join = b" ".join
     for start in range(0, n, CHUNK):
-        h = np.array([digest(join(w[i:i + shingle]), 42) for i in range(start, min(n, start + CHUNK))], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
-
-
-def with_fingerprints(docs: DataFrame, shingle: int, name: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of ``text``; null, empty and wordless texts have fingerprint 0."""
-    docs = docs.drop(name)
-    rest = [c for c in docs.columns if c != "text"]
+        grams = [join(w[i:i + shingle]) for i in range(start, min(n, start + CHUNK))]
+        if longs == 1:
+            h = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype="<u8").view(np.uint8)
+        else:
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), np.uint8)
+        total += np.unpackbits(h.reshape(-1, 8 * longs), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > n, bitorder="little").view("<i8").tolist()
+
+
+def with_fingerprints(docs: DataFrame, shingle: int, names: Sequence[str] = ("fingerprint",)) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` in the columns ``names`` (one or two longs); those of these names are replaced."""
+    docs, names, k = docs.drop(*names), list(names), len(names)
     raw = free_name(docs, "raw")
-    columns, schema = docs.columns, docs.withColumn(name, F.lit(0).cast("long")).schema
+    columns, schema = docs.columns, docs.withColumns({c: F.lit(0).cast("long") for c in names}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = pa.array([fingerprint(x.as_py(), shingle) for x in b.column(raw)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [prints], names=[*columns, name])
+            prints = np.array([fingerprint(x.as_py(), shingle, k) for x in b.column(raw)], np.int64).reshape(-1, k)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(prints[:, i]) for i in range(k)], names=[*columns, *names])
 
-    return docs.select(*rest, "text", F.col("text").cast("binary").alias(raw)).mapInArrow(run, schema)
+    return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def masks(bits: list[int], radius: int) -> list[int]:
@@ -90,28 +99,108 @@ def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(roots), np.concatenate(members)
 
 
-def links(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within ``radius`` among the different uint64 ``x``."""
-    differ = int(np.bitwise_or.reduce(x ^ x[0]))
-    bits = [b for b in range(64) if differ >> b & 1]
+@dataclass(frozen=True)
+class Slice:
+    """Bits ``low`` to ``high`` of a long of the fingerprint."""
+
+    column: int
+    low: int
+    high: int
+
+    @property
+    def bits(self) -> list[int]:
+        return list(range(self.low, self.high))
+
+
+@dataclass(frozen=True)
+class Covering:
+    """Pairs within ``radius`` bits in all are found: some slice differs by at most radius // slices, and has tables for that.
+
+    Pairs that meet in a table are links up to ``accept`` bits; of those beyond ``radius`` most meet.
+    """
+
+    longs: int
+    slice_bits: int
+    radius: int
+    accept: int
+
+    @property
+    def slices(self) -> list[Slice]:
+        return [Slice(c, low, low + self.slice_bits) for c in range(self.longs) for low in range(0, 64, self.slice_bits)]
+
+    @property
+    def per_slice(self) -> int:
+        return self.radius // len(self.slices)
+
+    @staticmethod
+    def of_similarity(similarity: float, longs: int = 2, slice_bits: int = 32) -> Covering:
+        """For texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+        Such pairs have a cosine of 2s / (1 + s), so arccos / pi of the bits differ in the
+        mean; accepted is that and one and a half standard deviations.
+        """
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        n = 64 * longs
+        mean = n * p
+        slices = longs * (64 // slice_bits)
+        return Covering(longs, slice_bits, slices * int(mean / slices + 1) - 1, int(mean + 1.5 * math.sqrt(n * p * (1 - p))))
+
+
+EXACT = Covering(1, 64, 4, 4)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
+
+
+def links(x: np.ndarray, part: Slice, radius: int, accept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) among the different fingerprints ``x`` (rows of uint64) that differ by at most ``radius`` bits in ``part`` and ``accept`` in all."""
+    y = x[:, part.column]
+    differ = int(np.bitwise_or.reduce(y ^ y[0]))
+    bits = [b for b in part.bits if differ >> b & 1]
     if len(x) <= DIRECT or len(bits) <= max(10, radius + 1):
-        a, b = _forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
-        return x[a], x[b]
+        close = np.zeros((len(x), len(x)), bool) if len(x) <= 4 * DIRECT else None
+        if close is None:
+            return _wide(x, accept)
+        for i in range(0, len(x), 256):
+            close[i:i + 256] = _distance(x[i:i + 256, None], x[None]) <= accept
+        return _forest(close)
     out = []
     for mask in masks(bits, radius):
-        key = x & np.uint64(mask)
+        key = y & np.uint64(mask)
         order = np.argsort(key, kind="stable")
-        key, y = key[order], x[order]
+        key = key[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        out += [links(y[i:j], radius) for i, j in zip(cuts[:-1], cuts[1:]) if j - i > 1]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if j - i > 1:
+                a, b = links(x[order[i:j]], part, radius, accept)
+                out.append((order[i:j][a], order[i:j][b]))
     if not out:
-        return x[:0], x[:0]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*out)]), axis=1)
     return pairs[0], pairs[1]
 
 
-def _of_buckets(radius: int):
-    def found(bucket: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def _wide(x: np.ndarray, accept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars among many rows that are alike in their slice: each round, one row links all it reaches that has no link."""
+    free, a, b = np.arange(len(x)), [], []
+    queue: list[int] = []
+    while len(free):
+        if not queue:
+            queue, free = [int(free[0])], free[1:]
+        i = queue.pop()
+        near = _distance(x[free], x[i]) <= accept
+        a.append(np.full(int(near.sum()), i))
+        b.append(free[near])
+        queue += free[near].tolist()
+        free = free[~near]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _of_buckets(cover: Covering):
+    slices, names = cover.slices, [f"f{i}" for i in range(cover.longs)]
+
+    def found(bucket: np.ndarray, part: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         new = np.r_[True, bucket[1:] != bucket[:-1]]
         cuts = np.flatnonzero(np.r_[new, True])
         sizes = np.diff(cuts)
@@ -119,29 +208,29 @@ def _of_buckets(radius: int):
         a, b = [], []
         for shift in range(1, 8):  # pairs of small buckets, all buckets at once
             i = np.flatnonzero((size[shift:] <= 8) & (bucket[shift:] == bucket[:-shift]))
-            i = i[np.bitwise_count(x[i] ^ x[i + shift]) <= radius]
-            a.append(x[i])
-            b.append(x[i + shift])
+            i = i[_distance(x[i], x[i + shift]) <= cover.accept]
+            a.append(node[i])
+            b.append(node[i + shift])
         for i in np.flatnonzero(sizes > 8):
-            p, q = links(np.unique(x[cuts[i]:cuts[i + 1]]), radius)
-            a.append(p)
-            b.append(q)
-        a, b = np.concatenate(a), np.concatenate(b)
-        apart = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[apart].view(np.int64)), pa.array(b[apart].view(np.int64))], names=["a", "b"])
+            own = slice(cuts[i], cuts[i + 1])
+            p, q = links(x[own], slices[part[cuts[i]]], cover.per_slice, cover.accept)
+            a.append(node[own][p])
+            b.append(node[own][q])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []  # the bucket that may go on in the next batch
+        kept: list[tuple] = []  # the bucket that may go on in the next batch
         for batch in batches:
-            bucket, x = batch.column("bucket").to_numpy(), batch.column("fingerprint").to_numpy().view(np.uint64)
+            bucket, part, node = (batch.column(c).to_numpy() for c in ("bucket", "part", "node"))
+            x = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
             if not len(x):
                 continue
             if bucket[0] != bucket[-1] or kept and kept[0][0][0] != bucket[-1]:
                 last = int(np.searchsorted(bucket, bucket[-1]))
-                kept.append((bucket[:last], x[:last]))
+                kept.append((bucket[:last], part[:last], node[:last], x[:last]))
                 yield found(*[np.concatenate(c) for c in zip(*kept)])
-                kept, bucket, x = [], bucket[last:], x[last:]
-            kept.append((bucket, x))
+                kept, bucket, part, node, x = [], bucket[last:], part[last:], node[last:], x[last:]
+            kept.append((bucket, part, node, x))
         if kept:
             yield found(*[np.concatenate(c) for c in zip(*kept)])
 
@@ -152,40 +241,60 @@ def _signed(mask: int):
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def near_links(prints: DataFrame, radius: int = 4, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) that connect all pairs of different ``fingerprint`` values within ``radius`` bits."""
-    first = masks(list(range(64)), radius)
-    x = F.col("fingerprint")
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), x.bitwiseAND(_signed(m)).alias("kept")) for t, m in enumerate(first)]))
-    rows = prints.select("fingerprint").distinct().select("fingerprint", tables.alias("k"))
-    rows = rows.select("fingerprint", "k.table", F.xxhash64("k.table", "k.kept").alias("bucket"))
-    # One fingerprint in 64 tells which buckets are very large; the choice changes the work, not the links.
-    large = stage(rows.where(F.pmod(F.xxhash64("fingerprint"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= split / 64).select("bucket"))
+def near_links(nodes: DataFrame, cover: Covering, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) of ``node`` that connect all pairs of ``nodes`` (node, f0, f1, ...; each once) that ``cover`` finds."""
+    names = [f"f{i}" for i in range(cover.longs)]
+    tables = [(p, s, m) for p, s in enumerate(cover.slices) for m in masks(s.bits, cover.per_slice)]
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(p).alias("part"), F.col(names[s.column]).bitwiseAND(_signed(m)).alias("kept")) for t, (p, s, m) in enumerate(tables)]))
+    rows = nodes.select("node", *names, keys.alias("k")).select("node", *names, "k.part", "k.table", F.xxhash64("k.table", "k.kept").alias("bucket"))
+    # One node in 64 tells which buckets are very large; the choice changes the work, not the links.
+    large = stage(rows.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= split / 64).select("bucket"))
     if not large.isEmpty():
         again = None
-        for t, m in enumerate(first):
-            finer = F.array(*[F.xxhash64("bucket", F.lit(u), x.bitwiseAND(_signed(k))) for u, k in enumerate(masks([b for b in range(64) if not m >> b & 1], radius))])
+        for t, (_, s, m) in enumerate(tables):
+            rest = masks([b for b in s.bits if not m >> b & 1], cover.per_slice)
+            finer = F.array(*[F.xxhash64("bucket", F.lit(u), F.col(names[s.column]).bitwiseAND(_signed(k))) for u, k in enumerate(rest)])
             again = F.when(F.col("table") == t, finer) if again is None else again.when(F.col("table") == t, finer)
-        fine = rows.join(large, "bucket", "left_semi").select("fingerprint", F.explode(again).alias("bucket"))
-        rows = rows.join(large, "bucket", "left_anti").select("fingerprint", "bucket").union(fine)
-    rows = rows.select("bucket", "fingerprint").repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
-    return rows.mapInArrow(_of_buckets(radius), "a long, b long").distinct()
+        fine = rows.join(large, "bucket", "left_semi").select("node", *names, "part", F.explode(again).alias("bucket"))
+        rows = rows.join(large, "bucket", "left_anti").select("node", *names, "part", "bucket").union(fine)
+    rows = rows.select("bucket", "part", "node", *names).repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_of_buckets(cover), "a long, b long").distinct()
 
 
-def classes(prints: DataFrame, radius: int = 4, split: int = SPLIT) -> DataFrame:
-    """``prints`` (doc_id, fingerprint and more) with component_id: the least doc_id reachable over links, its own included.
+def classes(prints: DataFrame, names: Sequence[str] = ("fingerprint",), cover: Covering = EXACT, split: int = SPLIT) -> DataFrame:
+    """``prints`` (doc_id, ``names`` and more) with component_id: the least doc_id reachable over links, its own included.
 
     Null doc_ids are no least ones, unless a component has no other. Repeated
-    rows each keep their row. No rows give no rows.
+    rows each keep their row. No rows give no rows. A fingerprint of one long is
+    its own node; longer ones are known by a 64-bit hash.
     """
     prints = prints.drop("component_id")
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes, radius, split)).select(F.col("node").alias("fingerprint"), "root")
-    nodes = stage(nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+    node = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+    nodes = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(node.alias("node"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(names)], "least"))
+    roots = components(near_links(nodes.drop("least"), cover, split))
+    nodes = stage(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(nodes.join(ids, "root").select("fingerprint", "component_id"), "fingerprint")
+    own = nodes.join(ids, "root").select(*[F.col(f"f{i}").alias(c) for i, c in enumerate(names)], "component_id")
+    return prints.join(own, list(names))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id."""
-    return classes(stage(with_fingerprints(docs.select("doc_id", "text"), shingle).drop("text")), radius)
+    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (64 bits), component_id; links are up to ``radius`` differing bits."""
+    prints = stage(with_fingerprints(docs.select("doc_id", "text"), shingle).drop("text"))
+    return classes(prints, cover=Covering(1, 64, radius, radius))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text and more) with one row of each class of near copies: that of the least doc_id, then of the least row.
+
+    Fingerprints have 128 bits here, for 64 cannot tell a similarity of 0.8 (some 10
+    bits differ) within a radius that has few tables. Rows without a word stay as
+    they are: they are no copies of a text.
+    """
+    names = [free_name(docs, c) for c in ("f0", "f1")]
+    row, kept = free_name(docs, "row"), free_name(docs, "component_id")
+    numbered = stage(with_fingerprints(docs, shingle, names).withColumn(row, F.monotonically_increasing_id()))
+    worded = (F.col(names[0]) != 0) | (F.col(names[1]) != 0)
+    found = classes(numbered.where(worded).select("doc_id", row, *names), names, Covering.of_similarity(similarity))
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best")).select(F.col("best")[row].alias(kept))
+    return numbered.join(best, numbered[row] == best[kept], "left").where(F.col(kept).isNotNull() | ~worded).select(*docs.columns)
