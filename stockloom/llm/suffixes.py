@@ -37,7 +37,7 @@ from stockloom.llm.common import free_name, stage
 
 LENGTH = 200
 #: Bytes of texts hashed at once, and of regions in one suffix array.
-GROUP, SHARD = 2 << 20, 2 << 20
+GROUP, SHARD = 2 << 20, 1_900_000
 #: Regions of one anchor that one task takes.
 TASK = 16384
 U = np.uint64
@@ -243,34 +243,56 @@ class Shard:
         self.common = self._kasai()
 
     def _sorted(self, places: np.ndarray) -> np.ndarray:
-        """Larsson-Sadakane: groups of suffixes equal in h bytes are refined by the rank of what follows, with h doubling."""
-        order = places[np.argsort(self.word[places])]
-        key = self.word[order]
+        """Larsson-Sadakane: groups of suffixes equal in h bytes are refined by the rank of what follows, with h doubling.
+
+        Keys and indexes are packed into one number, which sorts much faster than an
+        index by key. Bytes are coded densely, from 1; 0 is the end of a region.
+        """
+        n, longest = len(self.end), int((self.ends - self.starts).max())
+        bits = n.bit_length()
+        real = np.arange(n) < self.end
+        present = np.bincount(self.text[:n][real], minlength=256) > 0
+        width = int(present.sum()).bit_length()
+        h = min(8, max(1, (63 - bits) // width))
+        code = np.zeros(n + 8, np.int64)
+        code[:n][real] = np.cumsum(present)[self.text[:n][real]]
+        key = np.zeros(n, np.int64)
+        for k in range(h):
+            key = (key << width) | code[k:k + n]
+        key, order = self._by(key[places], places, bits)
         new = np.r_[True, key[1:] != key[:-1]]
-        rank = np.zeros(len(self.end) + 1, np.int64)
         group = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rank = np.zeros(n + 1, np.int64)
         rank[order] = group + 1  # 0 is the end of a region
-        h, longest = 8, int((self.ends - self.starts).max())
         while h < longest:
             open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # groups of one are done
+            at = order[open_]
+            more = at + h <= self.end[at]  # and so are groups that are equal to the ends of their regions
+            open_, at = open_[more], at[more]
             if not len(open_):
                 break
-            at = order[open_]
-            then = np.where(at + h < self.end[at], rank[np.minimum(at + h, len(self.end))], 0)
-            key = (group[open_] << 32) | then
-            by = np.argsort(key)
-            order[open_], key = at[by], key[by]
+            key, by = self._by((group[open_] << bits) | rank[at + h], np.arange(len(at)), bits)
+            order[open_] = at[by]
             split = np.r_[True, key[1:] != key[:-1]]
             new[open_] = split
             group[open_] = open_[np.flatnonzero(split)[np.cumsum(split) - 1]]
             rank[order[open_]] = group[open_] + 1
             h *= 2
         open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # equal to the ends of their regions: by place, as Kasai's bound asks
-        order[open_] = order[open_][np.argsort((group[open_] << 32) | order[open_])]
+        order[open_] = self._by(group[open_], order[open_], bits)[1]
         return order
 
+    @staticmethod
+    def _by(key: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order with their values (of up to ``bits`` bits), equal keys by value."""
+        if 3 * bits <= 63:
+            packed = np.sort((key << bits) | value)
+            return packed >> bits, packed & ((1 << bits) - 1)
+        by = np.lexsort((value, key))
+        return key[by], value[by]
+
     def _kasai(self) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in order, up to ``length``.
+        """Common prefix of each suffix of at least ``length`` bytes with the one before it in order, up to ``length``; else 0.
 
         Along a region a common prefix is at least one less than that of the place
         before; all regions go along at once.
@@ -280,9 +302,9 @@ class Shard:
         out = np.zeros(len(self.end) + 1, np.int16 if self.length < 1 << 15 else np.int64)
         by_size = np.argsort(self.starts - self.ends, kind="stable")
         starts, ends = self.starts[by_size], self.ends[by_size]
-        sizes = ends - starts
+        sizes = ends - starts - self.length + 1  # suffixes shorter than ``length`` are in no class
         common = np.zeros(len(starts), np.int64)
-        for t in range(int(sizes[0]) if len(sizes) else 0):
+        for t in range(max(0, int(sizes[0]))):
             live = np.searchsorted(-sizes, -t, "left")
             i, common = starts[:live] + t, np.maximum(common[:live] - 1, 0)
             j = before[i]
@@ -299,8 +321,7 @@ class Shard:
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """(places in order, first of each class): suffixes of at least ``length`` bytes, classed by their first ``length``."""
-        # A shorter suffix between two long ones that are equal in ``length`` bytes would be equal to them in all of its own,
-        # and stand before both, so classes are not torn.
+        # A shorter suffix that is equal to long ones in all of its own bytes stands before them, so it tears no class.
         long = self.end[self.order] - self.order >= self.length
         tear = np.cumsum(self.common < self.length)[long]
         return self.order[long], np.flatnonzero(np.r_[True, tear[1:] != tear[:-1]]) if long.any() else np.empty(0, np.int64)
@@ -400,14 +421,28 @@ def _search(length: int):
     return run
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, fields) of a column of lists of structs; null lists are empty."""
+    sizes = np.diff(column.offsets.to_numpy()) * ~column.is_null().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    fields = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
+    return np.concatenate([[0], np.cumsum(sizes)]), fields
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of texts: one row each, with its bytes."""
     for batch in batches:
-        for key, size, wanted, raw in zip(*(batch.column(c).to_pylist() for c in ("hash", "size", "wanted", "raw"))):
-            cut = [raw[w["start"]:w["end"]] for w in wanted]
+        offsets, wanted = _lists(batch.column("wanted"))
+        for at in range(0, batch.num_rows, 200):
+            rows = range(at, min(at + 200, batch.num_rows))
+            part = slice(offsets[rows[0]], offsets[rows[-1] + 1])
+            own = np.repeat(np.arange(len(rows)), np.diff(offsets[rows[0]:rows[-1] + 2]))
+            texts = [x.as_py() for x in batch.column("raw").slice(at, len(rows))]
+            cut = [texts[i][a:b] for i, a, b in zip(own.tolist(), wanted["start"][part].tolist(), wanted["end"][part].tolist())]
+            both = {c: batch.column(c).slice(at, len(rows)).to_numpy()[own] for c in ("hash", "size")}
             yield pa.RecordBatch.from_arrays([
-                pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["salt"] for w in wanted], pa.int32()), pa.array([key] * len(cut), pa.int64()), pa.array([size] * len(cut), pa.int32()),
-                pa.array([w["start"] for w in wanted], pa.int32()), pa.array([w["twin"] for w in wanted], pa.bool_()), pa.array(cut, pa.binary()),
+                pa.array(wanted["anchor"][part]), pa.array(wanted["salt"][part]), pa.array(both["hash"]), pa.array(both["size"]),
+                pa.array(wanted["start"][part]), pa.array(wanted["twin"][part]), pa.array(cut, pa.binary()),
             ], names=["anchor", "salt", "hash", "size", "start", "twin", "raw"])
 
 
@@ -432,9 +467,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK) -> DataFram
     return every.groupBy("hash", "size").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
-def _cut(raw: bytes, runs: list[dict]) -> tuple[bytes, int]:
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
     """What is left of ``raw``, and the number of maximal runs that went."""
-    starts, ends = merged(np.array([r["start"] for r in runs], np.int64), np.array([r["end"] for r in runs], np.int64))
+    starts, ends = merged(starts, ends)
     edges = [0, *(x for pair in zip(starts.tolist(), ends.tolist()) for x in pair), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])), len(starts)
 
@@ -462,10 +497,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK, dige
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, total, gone, spans, sha = [], [], [], [], []
-            for value, cuts in zip(b.column(raw), b.column(runs)):
-                value, cuts = value.as_py(), cuts.as_py()
-                left, n = _cut(value, cuts) if cuts else (value or b"", 0)
-                kept.append(None if value is None else left.decode("utf-8", "ignore"))
+            offsets, cuts = _lists(b.column(runs))
+            for value, i, j in zip(b.column(raw), offsets[:-1].tolist(), offsets[1:].tolist()):
+                value = value.as_py()
+                left, n = _cut(value, cuts["start"][i:j], cuts["end"][i:j]) if j > i else (value or b"", 0)
+                if not digest:
+                    kept.append(None if value is None else left.decode("utf-8", "ignore"))
                 total.append(len(value or b""))
                 gone.append(len(value or b"") - len(left))
                 spans.append(n)
