@@ -42,11 +42,16 @@ LITERAL = "\U0010ffff"
 #: A character without a piece costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a worker keeps; more are searched anew.
-KEPT = 1_000_000
+KEPT = 1_200_000
+
+
+LETTER = re.compile(r"[^\W\d_]")
+#: Parts of a text that no piece crosses, if pieces mix no letters with other signs.
+PARTS = re.compile(f"{SPACE}*[^\\W\\d_]+|{SPACE}*(?:(?!{SPACE})[\\W\\d_])+|{SPACE}+")
 
 
 def _kind(c: str) -> int:
-    return 0 if c == SPACE else 1 if c.isalpha() else 2
+    return 0 if c == SPACE else 1 if LETTER.match(c) else 2
 
 
 Way = tuple[float, tuple[int, ...]]
@@ -72,6 +77,7 @@ class Pieces:
             for k in range(1, len(piece)):
                 self.prefixes.setdefault(piece[:k], None)
         self.prefixes |= self.scores
+        self.unmixed = self.joined <= {(0, 0), (0, 1), (0, 2), (1, 1), (2, 2)}
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
 
     @staticmethod
@@ -92,26 +98,32 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
         return Pieces(scores, ids, texts, [by_byte[b] for b in range(256)])
 
-    def search(self, text: str, n: int) -> list[Way]:
-        """The ``n`` best segmentations of ``text`` as one lattice, (score, ids), best first."""
-        size, prefixes = len(text), self.prefixes
+    def _forward(self, text: str) -> tuple[list[list], list[float]]:
+        """The lattice, as edges (start, score) by their ends, and the best score of a way to each place (Viterbi)."""
+        size, get, unknown = len(text), self.prefixes.get, self.unknown
         edges: list[list] = [[] for _ in range(size + 1)]
         best = [0.0] + [-math.inf] * size
-        for i in range(size):  # forward Viterbi; the lattice is kept by end positions
+        for i in range(size):
             at, single = best[i], False
             for j in range(i + 1, size + 1):
-                score = prefixes.get(text[i:j], False)
+                score = get(text[i:j], False)
+                if score is None:
+                    continue
                 if score is False:
                     break
-                if score is not None:
-                    single |= j == i + 1
-                    edges[j].append((i, score))
-                    if at + score > best[j]:
-                        best[j] = at + score
+                single |= j == i + 1
+                edges[j].append((i, score))
+                if at + score > best[j]:
+                    best[j] = at + score
             if not single:
-                edges[i + 1].append((i, self.unknown))
-                best[i + 1] = max(best[i + 1], at + self.unknown)
-        queue, found, count = [(-best[size], 0, size, 0.0, None)], [], 0
+                edges[i + 1].append((i, unknown))
+                best[i + 1] = max(best[i + 1], at + unknown)
+        return edges, best
+
+    def search(self, text: str, n: int) -> list[Way]:
+        """The ``n`` best segmentations of ``text`` as one lattice, (score, ids), best first."""
+        edges, best = self._forward(text)
+        queue, found, count = [(-best[-1], 0, len(text), 0.0, None)], [], 0
         while queue:  # backward A-star; a state's way is a chain to the end of the text
             _, _, at, score, way = heappop(queue)
             if not at:
@@ -124,6 +136,26 @@ class Pieces:
                 heappush(queue, (-(score + s + best[start]), count, start, score + s, (start, at, way)))
         return found
 
+    def first_two(self, text: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids) of the best segmentation, and how much the runner-up loses (inf if there is none).
+
+        The A-star search of ``search`` as far as its first find. The heuristic is exact, so
+        until then it pops the best way's states only, and what is then at the
+        queue's head has the runner-up's score: the least loss of an edge passed over.
+        """
+        edges, best = self._forward(text)
+        at, way, loss = len(text), None, math.inf
+        while at:
+            here, nxt = best[at], None
+            for start, s in edges[at]:
+                lost = here - best[start] - s
+                if lost <= 0 and nxt is None:
+                    nxt = start
+                elif lost < loss:
+                    loss = lost
+            way, at = (nxt, at, way), nxt
+        return best[-1], self._ids(text, way), loss
+
     def _ids(self, text: str, way) -> tuple[int, ...]:
         ids: list[int] = []
         while way is not None:
@@ -134,6 +166,8 @@ class Pieces:
 
     def parts(self, text: str) -> list[str]:
         """``text`` cut where no piece can lie across."""
+        if self.unmixed:
+            return [text] if text[1:].isalpha() else PARTS.findall(text) or [text]
         cuts = [i for i in range(1, len(text)) if (_kind(text[i - 1]), _kind(text[i])) not in self.joined]
         return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
 
@@ -209,19 +243,43 @@ class Table(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.ids, self.first, self.score, self.loss = pieces, array("i"), array("q", [0]), array("d"), array("d")
+        self.pieces = pieces
         self.lengths = np.array([len(t) for t in pieces.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(pieces.texts), np.uint8)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.ids, self.first, self.score, self.loss = array("i"), array("q", [0]), array("d"), array("d")
+        self.parts: dict[str, int] = {}  # and the same of their parts; flat arrays, so that there is little to collect
+        self.part_ids, self.part_first, self.part_score, self.part_loss = array("i"), array("q", [0]), array("d"), array("d")
+
+    def _part(self, text: str) -> int:
+        score, ids, loss = self.pieces.first_two(text)
+        self.part_ids.extend(ids)
+        self.part_first.append(len(self.part_ids))
+        self.part_score.append(score)
+        self.part_loss.append(loss)
+        self.parts[text] = n = len(self.part_score) - 1
+        return n
 
     def __missing__(self, key: str) -> int:
-        ways = self.pieces.chunk(marked(key[1:]) if key[0] == LITERAL else SPACE + marked(key), 2)
-        self.ids.extend(ways[0][1])
-        self.first.append(len(self.ids))
-        self.score.append(ways[0][0])
-        self.loss.append(ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf)
-        self[key] = len(self.score) - 1
-        return self[key]
+        text = marked(key[1:]) if key[:1] == LITERAL else SPACE + marked(key)
+        score, loss, ids = 0.0, math.inf, self.ids
+        for part in self.pieces.parts(text):
+            k = self.parts.get(part)
+            if k is None:
+                k = self._part(part)
+            score += self.part_score[k]
+            ids.extend(self.part_ids[self.part_first[k]:self.part_first[k + 1]])
+            if self.part_loss[k] < loss:
+                loss = self.part_loss[k]
+        self.first.append(len(ids))
+        self.score.append(score)
+        self.loss.append(loss)
+        self[key] = n = len(self.score) - 1
+        return n
 
     def encode(self, text: str) -> tuple[np.ndarray, float, float]:
         """Best ids, their score, and the runner-up's score (-inf if there is none)."""
@@ -234,7 +292,7 @@ class Table(dict):
         else:
             words[0] = LITERAL + words[0]
         if len(self) > KEPT:
-            self.__init__(self.pieces)
+            self._empty()
         n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         first, score, loss = np.frombuffer(self.first, np.int64), np.frombuffer(self.score), np.frombuffer(self.loss)
         ids = gathered(np.frombuffer(self.ids, np.int32), first[n], first[n + 1] - first[n])
@@ -306,18 +364,18 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
-    def row(text: str | None):
+    def row(text: str | None, table: Table):
         if text is None:
             return 0, 0, None, None, True
-        table = _table(model.value)
         ids, score, following = table.encode(text)
         return len(ids), zlib.crc32(ids.astype("<i4").tobytes()), score, following if following > -math.inf else None, table.decoded(ids) == text.encode("utf-8", "surrogatepass")
 
     kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "next_score": pa.float64(), "exact": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model.value)
         for b in batches:
-            found = list(zip(*map(row, b.column("text").to_pylist()))) or [[]] * len(kinds)
+            found = list(zip(*[row(t, table) for t in b.column("text").to_pylist()])) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, k) for v, k in zip(found, kinds.values())]], names=["doc_id", *kinds])
 
     schema = docs.select("doc_id").withColumns({"n_pieces": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "next_score": F.lit(None).cast("double"), "exact": F.lit(True)}).schema
