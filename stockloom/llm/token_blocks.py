@@ -101,8 +101,6 @@ def unpack(value: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space other than space and line feed, and the sign that marks a text's first word.
-UNUSUAL = regex.compile(r"[^\S \n]|[\x00\x1c-\x1f]")
 TOUCHING = ("  ", " \n", "\n ", "\n\n")
 START = "\x00"
 
@@ -112,13 +110,29 @@ class Words(dict):
 
     def __init__(self, tokenizer: Tokenizer, letters: dict[int, str]):
         super().__init__()
-        self.tokenizer, self.letters, self.ids, self.first = tokenizer, letters, array("I"), array("q", [0])
+        self.tokenizer, self.letters = tokenizer, letters
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.ids, self.first = array("I"), array("q", [0])
+        self.parts: dict[str, int] = {}  # the same for what the pre-tokenizer cuts words into
+        self.part_ids, self.part_first = array("I"), array("q", [0])
+
+    def _part(self, part: str) -> int:
+        shown = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        self.part_ids.extend([t.id for t in self.tokenizer.model.tokenize(shown)])
+        self.part_first.append(len(self.part_ids))
+        self.parts[part] = n = len(self.part_first) - 2
+        return n
 
     def __missing__(self, word: str) -> int:
         own = word[1:] if word[:1] == START else word if word[:1] == "\n" else " " + word
-        for part in PATTERN.findall(own):
-            shown = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            self.ids.extend([t.id for t in self.tokenizer.model.tokenize(shown)])
+        for part in [own] if own[1:].isalpha() and own[0] == " " else PATTERN.findall(own):
+            k = self.parts.get(part)
+            if k is None:
+                k = self._part(part)
+            self.ids.extend(self.part_ids[self.part_first[k]:self.part_first[k + 1]])
         self.first.append(len(self.ids))
         self[word] = len(self.first) - 2
         return self[word]
@@ -127,13 +141,14 @@ class Words(dict):
         """Ids of ``text``, without special tokens.
 
         Where spaces and line feeds do not touch, no token crosses the place
-        before one, so the text is looked up word by word. A text with other white space,
-        or with some that touches or ends it, is encoded as a whole.
+        before one, so the text is looked up word by word. A text with other white space
+        (it counts as not printable, as some rare signs do), or with some that touches
+        or ends it, is encoded as a whole.
         """
-        if any(t in text for t in TOUCHING) or text[-1:] in ("", " ") or UNUSUAL.search(text):
+        if any(t in text for t in TOUCHING) or text[-1:] in ("", " ") or not text.replace("\n", "").isprintable():
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > KEPT:
-            self.__init__(self.tokenizer, self.letters)
+            self._empty()
         words = text.replace("\n", " \n").split(" ")
         words[0] = START + words[0]
         n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
