@@ -186,7 +186,8 @@ def log_probability(docs: DataFrame, model: DataFrame, order: int, unseen: float
     keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     parts = []
     for s in range(n_shards):
-        own = model.where(F.pmod(F.xxhash64("gram"), F.lit(n_shards)) == s).toArrow()
+        # Single characters all go to the first shard, which knows by them what was never seen.
+        own = model.where(F.when(F.length("gram") == 1, 0).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n_shards))) == s).toArrow()
         hashes = np.array([gram_hash(g) for g in own.column("gram").to_pylist()], np.uint64)
         table = spark.sparkContext.broadcast(GramTable(hashes, own.column("gain").to_numpy(), own.column("back").to_numpy()))
         parts.append(keyed.mapInArrow(_scorer(table, order, unseen if s == 0 else 0.0, n_shards), "doc_id long, hash long, n_chars long, logp double"))

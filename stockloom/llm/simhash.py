@@ -154,7 +154,11 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(x: np.ndarray, part: Slice, radius: int, accept: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) among the different fingerprints ``x`` (rows of uint64) that differ by at most ``radius`` bits in ``part`` and ``accept`` in all."""
+    """Spanning stars (row, row) of the links among the different fingerprints ``x`` (rows of uint64).
+
+    A link is at most ``radius`` differing bits in ``part`` and ``accept`` in all. A star's
+    rows hang together by links, though not each by one with its centre.
+    """
     y = x[:, part.column]
     differ = int(np.bitwise_or.reduce(y ^ y[0]))
     bits = [b for b in part.bits if differ >> b & 1]
