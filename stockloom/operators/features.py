@@ -275,15 +275,3 @@ def join_features(
         "grid_cell": (code * 3 + F.col("demand_class_encoded")).cast("tinyint"),
         "price_per_unit_roll_3m": F.col("roll_mean_sales_3m") / (F.col("roll_mean_qty_3m") + EPS),
     }).drop("product_category", "roll_mean_sales_3m", "roll_mean_qty_3m")
-
-
-def targets(df: DataFrame, horizon: int = 2) -> DataFrame:
-    """Quantity ``horizon`` months ahead: raw, log1p, event flag, and log1p of sales."""
-    w = _series()
-    ahead = df.select(
-        *PAIR, "year_month", F.lead("net_quantity", horizon).over(w).alias("target_qty_raw"),
-        F.lead(log1p_or_null(F.col("net_sales")), horizon).over(w).alias("target_log1p_net_sales"))
-    raw = F.col("target_qty_raw")
-    return ahead.select(
-        *PAIR, "year_month", raw, log1p_or_null(raw).alias("target_qty_log1p"),
-        (raw > 0).cast("tinyint").alias("target_is_nonzero"), "target_log1p_net_sales")

@@ -140,6 +140,9 @@ def search(df: DataFrame, build, score, settings: Settings) -> tuple[PipelineMod
         for last, first, end in folds:
             model = build(params).fit(df.where(F.col("year_month") <= last))
             scores.append(score(model.transform(df.where(F.col("year_month").between(first, end)))))
+        scores = [s for s in scores if s is not None]  # a fold without a row to score says nothing
+        if not scores:
+            raise ValueError("no fold has a row to score")
         mean = sum(scores) / len(scores)
         if best_score is None or mean > best_score:
             best, best_score = params, mean
@@ -147,7 +150,7 @@ def search(df: DataFrame, build, score, settings: Settings) -> tuple[PipelineMod
 
 
 def _negative_mae(target: str):
-    return lambda scored: -(scored.agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0] or 0.0)
+    return lambda scored: scored.agg(-F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
 
 
 def _f1(target: str):

@@ -2,9 +2,9 @@
 
 ``Window.orderBy`` without ``partitionBy`` sends every row to one task, and the
 built-in exact percentile keeps all distinct values of a group in one buffer.
-The operators here split the global order into ranges first. The split points
-are the rows with the smallest key hashes, which is a fixed choice for fixed
-data, so every pass places a row in the same range.
+The operators here range-partition the rows by group and order first, into as
+many ranges as their number asks for. A large group lies in many ranges, and
+small groups share one; each range carries on the sums of those before it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.sources.staging import stage
 
-RANGES = 48
+ROWS_PER_RANGE = 200_000
 
 
 def running_totals(
@@ -21,13 +21,14 @@ def running_totals(
     order: list[Column],
     totals: dict[str, Column],
     by: list[str] | None = None,
-    ranges: int = RANGES,
+    rows_per_range: int = ROWS_PER_RANGE,
     staged: bool = True,
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` (ascending), one per group of ``by``.
 
     ``order`` must identify rows within a group; ``totals`` maps new column names
-    to the summed expressions. At most ``ranges`` + 1 tasks share one group.
+    to the summed expressions. A range has about ``rows_per_range`` rows, whatever
+    the groups' sizes. Ranges are staged, because two passes must see the same ones.
     """
     by = list(by or [])
     names = list(totals)
@@ -38,14 +39,11 @@ def running_totals(
     )
     if staged:
         keyed = stage(keyed)
-    # bounded: `ranges` keys
-    points = (
-        keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges)
-        .agg(F.collect_list("_key").alias("_points"))
-    )
-    placed = keyed.crossJoin(F.broadcast(points)).withColumn(
-        "_range", F.size(F.filter("_points", lambda p: p <= F.col("_key")))
-    ).drop("_points")
+    ranges = -(-keyed.count() // rows_per_range)
+    if ranges > 1:
+        placed = stage(keyed.repartitionByRange(ranges, "_key").withColumn("_range", F.spark_partition_id()))
+    else:
+        placed = keyed.withColumn("_range", F.lit(0))
     share = placed.groupBy(*by, "_range").agg(*[F.sum(f"_add_{n}").alias(f"_sum_{n}") for n in names])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = share.select(
@@ -53,15 +51,13 @@ def running_totals(
         F.col("_range").alias("_at"),
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_carry_{n}") for n in names],
     )
-    if not by:
-        carried = F.broadcast(carried)  # bounded: one row per range
     match = F.col("_range") == F.col("_at")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     inside = Window.partitionBy(*by, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(carried, match)
-    out = joined.withColumns({
-        n: F.sum(f"_add_{n}").over(inside) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) for n in names
+    within = placed.withColumns({f"_in_{n}": F.sum(f"_add_{n}").over(inside) for n in names})
+    out = within.join(carried, match).withColumns({
+        n: F.col(f"_in_{n}") + F.coalesce(F.col(f"_carry_{n}"), F.lit(0)) for n in names
     })
     return out.select(*df.columns, *names)
 
@@ -93,6 +89,8 @@ def quantiles_long(
     sizes = ranked.groupBy(*groups).agg(F.max("upto").alias("n"))
     wanted = sizes.select(*groups, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     wanted = wanted.withColumn("_pos", F.col("prob") * (F.col("n") - 1))
+    if not by:
+        wanted = F.broadcast(wanted)  # one row per column and probability
     s, q = spans.alias("s"), wanted.alias("q")
     same = F.lit(True)
     for c in groups:

@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("mr8_preview")
 def _(spark, d):
-    return i.tidy(matrix(spark, d).limit(5))
+    return i.tidy(matrix(spark, d).orderBy(*ft.PAIR, "year_month").limit(5))
 
 
 # -- metrics: the quantity of twelve months ago as forecast -------------------
@@ -260,5 +260,5 @@ def _(spark, d):
         done = ml.train_cell(m, cell, FAST)
         if done is not None:
             score = ml.evaluate_regression(done["scored"]).first()
-            rows.append((cell[0], cell[1], cell[2], cell[3], int(score["n"]), float(score["wmape"] or 0.0)))
+            rows.append((cell[0], cell[1], cell[2], cell[3], int(score["n"]), score["wmape"]))
     return spark.createDataFrame(rows, "grid_cell int, cluster string, demand_class string, two_stage boolean, n bigint, wmape double")

@@ -82,3 +82,12 @@ def test_match_rate_and_histogram(spark):
     edges = df.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     counts = {r.bin: r.n for r in rel.histogram(df, "x", 5, F.col("lo"), F.col("hi"), edges).collect()}
     assert counts == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
+
+
+def test_ranges_follow_the_rows_not_the_groups(spark):
+    """64 groups, one with a third of the rows: no range is above twice the mean."""
+    rows = spark.range(12000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 64).alias("g"), F.xxhash64("id").alias("v"), "id")
+    ordered = o.running_totals(rows, [F.col("v"), F.col("id")], {"pos": F.lit(1).cast("bigint")}, ["g"], 500)
+    assert ordered.groupBy("g").agg(F.max("pos").alias("top"), F.count("*").alias("n"), F.countDistinct("pos").alias("d")).where("top <> n or d <> n").count() == 0
+    placed = rows.repartitionByRange(24, F.struct("g", "v", "id")).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in placed) <= 2 * 12000 / len(placed)
