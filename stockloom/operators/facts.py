@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stockloom.functions.clean import (
     first_of, ids_to_text, month_text, ratio, signed_quantity, snake_columns, snake_values,
 )
+from stockloom.sources.staging import stage
 
 PAIR = ["outlet_id", "item_code"]
 PLACE = ["territory_id", "region", "district", "province"]
@@ -182,9 +183,9 @@ ACTIVITY = [
 ]
 
 
-def modal_value(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Most frequent non-null value per key; ties go to the smallest value."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+def modal_value(df: DataFrame, keys: list[str], value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """Most frequent non-null value per key; ties go to the smallest value. ``weight`` counts rows that stand for several."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count("*") if weight is None else weight).alias("_n"))
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(name))
 
 
@@ -195,23 +196,34 @@ def home_attributes(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     return best.select(*keys, *[F.col(f"_home.{c}").alias(c) for c in columns])
 
 
-def outlet_months(base: DataFrame) -> DataFrame:
-    """Months with at least one line per outlet."""
-    keys = ["outlet_id", "year_month"]
+def outlet_cells(base: DataFrame) -> DataFrame:
+    """Line sums per outlet, month, SKU, category, payment term and place, with the number of lines."""
+    keys = ["outlet_id", "year_month", "item_code", "product_category", "payment_term", *PLACE]
     wanted = line_measures()
-    parts = {c: wanted[c] for c in ACTIVITY if c in wanted}
+    return base.groupBy(*keys).agg(*[wanted[c].alias(c) for c in ACTIVITY if c in wanted], F.count("*").alias("_lines"))
+
+
+def outlet_months(cells: DataFrame) -> DataFrame:
+    """Months with at least one line per outlet, from :func:`outlet_cells`."""
+    keys, types = ["outlet_id", "year_month"], dict(cells.dtypes)
+    parts = {c: F.sum(c).cast(types[c]) for c in ACTIVITY if c in types}
     parts["n_unique_skus"] = F.countDistinct("item_code")
     parts["n_unique_categories"] = F.countDistinct("product_category")
-    summed = base.groupBy(*keys).agg(*[parts[c].alias(c) for c in ACTIVITY])
-    return summed.join(modal_value(base, keys, "payment_term", "primary_payment_term"), keys, "left")
+    summed = cells.groupBy(*keys).agg(*[parts[c].alias(c) for c in ACTIVITY])
+    return summed.join(modal_value(cells, keys, "payment_term", "primary_payment_term", F.sum("_lines")), keys, "left")
 
 
 def outlet_monthly_activity(base: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-    """Every outlet x every month, with the modal payment term."""
-    bounds = month_bounds(base) if bounds is None else bounds
+    """Every outlet x every month, with the modal payment term.
+
+    The lines are read once, into staged cells; sums, distinct counts, modal term,
+    home and month bounds all come from those.
+    """
+    cells = stage(outlet_cells(base))
+    bounds = month_bounds(cells) if bounds is None else bounds
     defaults = {**{c: 0 for c in ACTIVITY}, "primary_payment_term": "unknown"}
-    filled = fill_months(outlet_months(base), ["outlet_id"], bounds, defaults, wide=True)
-    return filled.join(home_attributes(base, ["outlet_id"], PLACE), "outlet_id", "left")
+    filled = fill_months(outlet_months(cells), ["outlet_id"], bounds, defaults, wide=True)
+    return filled.join(home_attributes(cells, ["outlet_id"], PLACE), "outlet_id", "left")
 
 
 # -- territory, SKU, national -------------------------------------------------

@@ -8,6 +8,7 @@ from stockloom.operators import classify, facts
 from stockloom.plans.sqlparts import CASH
 from stockloom.sources import adapter
 from stockloom.sources.adapter import base_sales, product, region, sales  # noqa: F401
+from stockloom.sources.staging import stage
 
 
 def bounds(spark, folder) -> DataFrame:
@@ -31,11 +32,11 @@ def full_demand(spark, folder) -> DataFrame:
 
 
 def activity(spark, folder) -> DataFrame:
-    return facts.outlet_monthly_activity(base_sales(spark, folder), bounds(spark, folder))
+    return facts.outlet_monthly_activity(base_sales(spark, folder))
 
 
 def outlets(spark, folder) -> DataFrame:
-    return facts.outlet_features(activity(spark, folder), cash=CASH)
+    return facts.outlet_features(stage(activity(spark, folder)), cash=CASH)
 
 
 def territories(spark, folder) -> DataFrame:
