@@ -66,10 +66,10 @@ def tiers(outlets: DataFrame, group: str = "cluster_definition", top: float = 0.
 
 def tier_profile(tiered: DataFrame, group: str = "cluster_definition", features: list[str] = PROFILE) -> DataFrame:
     """Mean and median of each feature per group and tier, long form."""
-    from stockloom.operators.ordering import long_values
+    from stockloom.operators.relational import column_stats
 
     keys = [group, "tier"]
-    means = long_values(tiered, features, keys).groupBy(*keys, "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    means = column_stats(tiered, features, {"n": F.count, "mean": F.avg}, keys)
     mid = quantiles_long(tiered, features, [0.5], keys).select(*keys, "feature", F.col("quantile").alias("median"))
     return means.join(mid, [*keys, "feature"])
 

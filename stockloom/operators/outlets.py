@@ -9,9 +9,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from stockloom.functions.clean import log1p_or_null, ratio
-from stockloom.operators.ordering import long_values, quantiles
+from stockloom.operators.ordering import quantiles
 from stockloom.operators.reduce import correlation_matrix
-from stockloom.operators.relational import winsorise
+from stockloom.operators.relational import column_stats, winsorise
 from stockloom.sources.staging import stage
 
 NUMERIC = [
@@ -38,8 +38,7 @@ def normality(outlets: DataFrame, features: list[str] = NUMERIC) -> DataFrame:
     NULL for constant features. The tail of the statistic (two degrees of
     freedom) is exp(-K2 / 2).
     """
-    m = long_values(outlets, features).groupBy("feature").agg(
-        F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"), (F.kurtosis("value") + 3).alias("b2"))
+    m = column_stats(outlets, features, {"n": lambda c: F.count(c).cast("double"), "g1": F.skewness, "b2": lambda c: F.kurtosis(c) + 3})
     n = F.col("n")
     # skewness: transformed to normal (D'Agostino 1970)
     y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))

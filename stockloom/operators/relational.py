@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.clean import ratio
@@ -41,17 +43,23 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 # -- aggregates ---------------------------------------------------------------
 
+def column_stats(df: DataFrame, columns: list[str], stats: dict[str, Callable[[Column], Column]], by: list[str] | None = None) -> DataFrame:
+    """``stats`` of every column as doubles, long form: (by…, feature, stats…).
+
+    One aggregation makes all of them side by side; only its result, one row per
+    group, is turned into rows.
+    """
+    by = list(by or [])
+    cells = [make(F.col(c).cast("double")).alias(f"_{i}_{n}") for i, c in enumerate(columns) for n, make in stats.items()]
+    rows = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{n}").alias(n) for n in stats]) for i, c in enumerate(columns)]
+    return df.groupBy(*by).agg(*cells).select(*by, F.explode(F.array(*rows)).alias("_row")).select(*by, "_row.*")
+
+
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column, long form."""
-    from stockloom.operators.ordering import long_values
-
     by = list(by or [])
     groups = [*by, "feature"]
-    v = F.col("value")
-    moments = long_values(df, columns, by).groupBy(*groups).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    moments = column_stats(df, columns, {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}, by)
     long = quantiles_long(df, columns, [0.25, 0.5, 0.75], by)
     cells = [F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     return moments.join(long.groupBy(*groups).agg(*cells), groups, "left")
@@ -92,9 +100,7 @@ def share_in_group(df: DataFrame, value: str, group: list[str], name: str = "sha
 
 def skewness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Population skewness per column, long form."""
-    from stockloom.operators.ordering import long_values
-
-    return long_values(df, columns).groupBy("feature").agg(F.skewness("value").alias("skewness"))
+    return column_stats(df, columns, {"skewness": F.skewness})
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: Column, high: Column, bounds: DataFrame) -> DataFrame:
