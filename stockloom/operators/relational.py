@@ -36,8 +36,8 @@ def match_rate(fact: DataFrame, dimension: DataFrame, key: str, threshold: float
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """All rows of ``n`` keys: those with the smallest hashes (repeatable)."""
-    chosen = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    """All rows of ``n`` keys: those with the smallest MD5 of their text (repeatable, in other engines too)."""
+    chosen = df.select(key).distinct().orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)
     return df.join(chosen, key, "left_semi")
 
 

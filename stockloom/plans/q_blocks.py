@@ -277,7 +277,8 @@ def _(spark, d):
     return i.tidy(rel.match_rate(sales, i.product(spark, d), "item_code").unionByName(rel.match_rate(sales, i.region(spark, d), "territory_id")))
 
 
-@query("jn8_sampled_keys")
+@query("jn8_sampled_keys", f"""WITH {BASE} SELECT outlet_id, document_number, item_code, quantity FROM base
+ WHERE outlet_id IN (SELECT outlet_id FROM (SELECT DISTINCT outlet_id FROM base) ORDER BY md5(outlet_id), outlet_id LIMIT 100)""")
 def _(spark, d):
     return rel.hash_sample(i.sales(spark, d), "outlet_id", 100).select("outlet_id", "document_number", "item_code", "quantity")
 
@@ -551,10 +552,11 @@ def _(spark, d):
     return sums.orderBy(F.desc("total"), "o_custkey").limit(10)
 
 
-@query("sr3_preview")
+@query("sr3_preview", f"""WITH {BASE} SELECT * REPLACE (CAST(document_date AS VARCHAR) AS document_date, CAST(net_sales AS DOUBLE) AS net_sales, CAST(discount AS DOUBLE) AS discount)
+ FROM base ORDER BY document_number, item_code, route_id, quantity, net_sales, discount LIMIT 5""")
 def _(spark, d):
-    sales = i.base_sales(spark, d)
-    return i.tidy(sales.orderBy(*sales.columns).limit(5).withColumn("document_date", F.col("document_date").cast("string")))
+    first = i.base_sales(spark, d).orderBy("document_number", "item_code", "route_id", "quantity", "net_sales", "discount").limit(5)
+    return i.tidy(first.withColumn("document_date", F.col("document_date").cast("string")))
 
 
 @query("st1_union_by_name", """(SELECT o_custkey, count(*) AS n, 'top' AS part FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5)

@@ -28,7 +28,9 @@ W = "WINDOW w AS (PARTITION BY outlet_id, item_code ORDER BY year_month)"
 
 # -- reduction ----------------------------------------------------------------
 
-@query("mr2_sampled_outlets")
+@query("mr2_sampled_outlets", f"""WITH {GRID}, sparse AS (SELECT * FROM pair_sums SEMI JOIN pairs USING (outlet_id, item_code))
+SELECT outlet_id, count(*) AS n_rows FROM sparse
+ WHERE outlet_id IN (SELECT outlet_id FROM (SELECT DISTINCT outlet_id FROM sparse) ORDER BY md5(outlet_id), outlet_id LIMIT 800) GROUP BY 1""")
 def _(spark, d):
     return red.sample_entities(i.sparse_demand(spark, d), "outlet_id", 800).groupBy("outlet_id").agg(F.count("*").alias("n_rows"))
 
