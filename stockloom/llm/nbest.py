@@ -42,7 +42,7 @@ LITERAL = "\U0010ffff"
 #: A character without a piece costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a worker keeps; more are searched anew.
-KEPT = 1_200_000
+KEPT = 700_000
 
 
 LETTER = re.compile(r"[^\W\d_]")

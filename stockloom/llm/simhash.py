@@ -58,17 +58,20 @@ def fingerprint(text: bytes | None, shingle: int, longs: int = 1) -> list[int]:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int, names: Sequence[str] = ("fingerprint",)) -> DataFrame:
-    """``docs`` with the fingerprint of ``text`` in the columns ``names`` (one or two longs); those of these names are replaced."""
+    """``docs`` without ``text``, and with its fingerprint in the columns ``names`` (one or two longs); those of these names are replaced.
+
+    The text does not come back from the Python workers, so that batches stay small.
+    """
     docs, names, k = docs.drop(*names), list(names), len(names)
-    raw = free_name(docs, "raw")
-    columns, schema = docs.columns, docs.withColumns({c: F.lit(0).cast("long") for c in names}).schema
+    rest = docs.drop("text")
+    columns, schema = rest.columns, rest.withColumns({c: F.lit(0).cast("long") for c in names}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(x.as_py(), shingle, k) for x in b.column(raw)], np.int64).reshape(-1, k)
+            prints = np.array([fingerprint(x.as_py(), shingle, k) for x in b.column("text").cast(pa.binary())], np.int64).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(prints[:, i]) for i in range(k)], names=[*columns, *names])
 
-    return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def masks(bits: list[int], radius: int) -> list[int]:
@@ -284,7 +287,7 @@ def classes(prints: DataFrame, names: Sequence[str] = ("fingerprint",), cover: C
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (64 bits), component_id; links are up to ``radius`` differing bits."""
-    prints = stage(with_fingerprints(docs.select("doc_id", "text"), shingle).drop("text"))
+    prints = stage(with_fingerprints(docs.select("doc_id", "text"), shingle))
     return classes(prints, cover=Covering(1, 64, radius, radius))
 
 
@@ -297,8 +300,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """
     names = [free_name(docs, c) for c in ("f0", "f1")]
     row, kept = free_name(docs, "row"), free_name(docs, "component_id")
-    numbered = stage(with_fingerprints(docs, shingle, names).withColumn(row, F.monotonically_increasing_id()))
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    prints = stage(with_fingerprints(numbered.select("doc_id", row, "text"), shingle, names))
     worded = (F.col(names[0]) != 0) | (F.col(names[1]) != 0)
-    found = classes(numbered.where(worded).select("doc_id", row, *names), names, Covering.of_similarity(similarity))
+    found = classes(prints.where(worded), names, Covering.of_similarity(similarity))
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best")).select(F.col("best")[row].alias(kept))
-    return numbered.join(best, numbered[row] == best[kept], "left").where(F.col(kept).isNotNull() | ~worded).select(*docs.columns)
+    stays = best.union(prints.where(~worded).select(row))
+    return numbered.join(stays, numbered[row] == stays[kept], "left_semi").select(*docs.columns)

@@ -485,10 +485,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK, dige
     """
     added = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added).select("doc_id", "text") if digest else docs.drop(*added)
-    hash_, size, raw, runs = (free_name(docs, c) for c in ("hash", "size", "raw", "runs"))
+    hash_, size, runs = (free_name(docs, c) for c in ("hash", "size", "runs"))
     text = F.col("text")
-    keyed = docs.withColumns({hash_: F.xxhash64("text"), size: F.coalesce(F.octet_length(text), F.lit(0)), raw: text.cast("binary")})
-    texts = keyed.select("doc_id", F.col(hash_).alias("hash"), F.col(size).alias("size"), F.col(raw).alias("raw"))
+    keyed = docs.withColumns({hash_: F.xxhash64("text"), size: F.coalesce(F.octet_length(text), F.lit(0))})
+    texts = keyed.select("doc_id", F.col(hash_).alias("hash"), F.col(size).alias("size"), text.cast("binary").alias("raw"))
     going = repeats(texts, length, task).select(F.col("hash").alias(hash_), F.col("size").alias(size), F.col("runs").alias(runs))
     shape = docs.select("doc_id") if digest else docs
     names = shape.columns
@@ -498,7 +498,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK, dige
         for b in batches:
             kept, total, gone, spans, sha = [], [], [], [], []
             offsets, cuts = _lists(b.column(runs))
-            for value, i, j in zip(b.column(raw), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for value, i, j in zip(b.column("text").cast(pa.binary()), offsets[:-1].tolist(), offsets[1:].tolist()):
                 value = value.as_py()
                 left, n = _cut(value, cuts["start"][i:j], cuts["end"][i:j]) if j > i else (value or b"", 0)
                 if not digest:
@@ -510,5 +510,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK, dige
             columns = ([] if digest else [pa.array(kept, pa.string())]) + [pa.array(x, pa.int64()) for x in (total, gone, spans)] + [pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + columns, names=out.names)
 
-    keyed = keyed.select("doc_id", hash_, size, raw) if digest else keyed
-    return keyed.join(going, [hash_, size], "left").select(*names, raw, runs).mapInArrow(run, out)
+    read = names if "text" in names else [*names, "text"]
+    return keyed.join(going, [hash_, size], "left").select(*read, runs).mapInArrow(run, out)

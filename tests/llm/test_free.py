@@ -142,7 +142,7 @@ def test_components_of_fingerprints(spark, monkeypatch):
     want_prints = {i: brute.fingerprint(t) for i, t in enumerate(texts)}
     want = brute.components(want_prints)
     for split in (simhash.SPLIT, 64):  # the second sends every bucket through the split
-        prints = simhash.with_fingerprints(docs.select("doc_id", "text"), 4).drop("text")
+        prints = simhash.with_fingerprints(docs.select("doc_id", "text"), 4)
         got = simhash.classes(prints, split=split).collect()
         assert len(got) == len(texts) + 1
         assert {r.doc_id: r.fingerprint & (1 << 64) - 1 for r in got} == want_prints
