@@ -85,6 +85,11 @@ def structural_share(flagged: DataFrame, least: int = 3) -> DataFrame:
     return out.select("n_outlets", "n_structural", ratio(F.col("_h"), F.col("_t")).alias("revenue_share"))
 
 
+def calm_outlets(outlets: DataFrame, most: int = 2) -> DataFrame:
+    """Outlets with at most ``most`` flags, the population that transforms and collinearity are judged on."""
+    return iqr_flags(outlets).where(F.col("outlier_count") <= most).select(*outlets.columns)
+
+
 def transform(outlets: DataFrame) -> DataFrame:
     """log1p of the skewed features (negatives as 0) and winsorised momentum."""
     logs = {f"{c}_log": log1p_or_null(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in LOGGED}
@@ -155,8 +160,8 @@ def _vectors(scaled: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=CLUSTER_INPUT, outputCol="features").transform(scaled)
 
 
-def k_sweep(scaled: DataFrame, ks: range = range(1, 11), seed: int = 42) -> DataFrame:
-    """Inertia per k and, from two clusters on, the silhouette (squared Euclidean)."""
+def k_sweep(scaled: DataFrame, ks: range = range(1, 11), seed: int = 42, starts: int = 10) -> DataFrame:
+    """Inertia per k and, from two clusters on, the silhouette (squared Euclidean); the cheapest of ``starts`` seeded starts."""
     vectors = _vectors(scaled).select("features").persist()
     try:
         rows = []
@@ -166,7 +171,7 @@ def k_sweep(scaled: DataFrame, ks: range = range(1, 11), seed: int = 42) -> Data
                 cost = scaled.agg(sum((F.var_pop(c) * F.count(c) for c in CLUSTER_INPUT), F.lit(0.0)).alias("c")).first()["c"]
                 rows.append((k, float(cost), 0.0))
                 continue
-            model = KMeans(k=k, seed=seed).fit(vectors)
+            model = min((KMeans(k=k, seed=seed + s).fit(vectors) for s in range(starts)), key=lambda m: m.summary.trainingCost)
             rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(vectors)))))
         return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     finally:

@@ -56,17 +56,25 @@ def _(spark, d):
     return i.tidy(flagged.select("outlet_id", "outlier_count", *[f"{c}_outlier" for c in seg.NUMERIC]))
 
 
-@query("os3_structural_share", f"WITH {ACTIVE}, {EDGES}, {COUNTED} SELECT count(*) AS n_outlets, count(*) FILTER (WHERE outlier_count >= 1) AS n_structural, round(coalesce(sum(total_net_sales) FILTER (WHERE outlier_count >= 1), 0) / sum(total_net_sales), 6) AS revenue_share FROM fl")
+@query("os3_structural_share", f"WITH {ACTIVE}, {EDGES}, {COUNTED} SELECT count(*) AS n_outlets, count(*) FILTER (WHERE outlier_count >= 3) AS n_structural, round(coalesce(sum(total_net_sales) FILTER (WHERE outlier_count >= 3), 0) / sum(total_net_sales), 6) AS revenue_share FROM fl")
 def _(spark, d):
-    return i.tidy(seg.structural_share(seg.iqr_flags(outlets(spark, d).where("is_active")), 1))
+    return i.tidy(seg.structural_share(seg.iqr_flags(outlets(spark, d).where("is_active"))))
+
+
+CALM = f"{ACTIVE}, {EDGES}, {COUNTED}, calm AS (SELECT act.* FROM act JOIN fl USING (outlet_id) WHERE fl.outlier_count < 3)"
+
+
+def calm(spark, d):
+    """Active outlets that are no structural outliers."""
+    return seg.calm_outlets(outlets(spark, d).where("is_active"))
 
 
 LOGS = ", ".join(f"round(ln(1 + greatest({c}::DOUBLE, 0)), 6) AS {c}_log" for c in seg.LOGGED)
 
 
-@query("os4_transforms", f"WITH {ACTIVE} SELECT outlet_id, {LOGS}, round(least(greatest(momentum, lo), hi), 6) AS momentum_winsor FROM act, (SELECT quantile_cont(momentum, 0.01) AS lo, quantile_cont(momentum, 0.99) AS hi FROM act)")
+@query("os4_transforms", f"WITH {CALM} SELECT outlet_id, {LOGS}, round(least(greatest(momentum, lo), hi), 6) AS momentum_winsor FROM calm, (SELECT quantile_cont(momentum, 0.01) AS lo, quantile_cont(momentum, 0.99) AS hi FROM calm)")
 def _(spark, d):
-    out = seg.transform(outlets(spark, d).where("is_active"))
+    out = seg.transform(calm(spark, d))
     return i.tidy(out.select("outlet_id", *[f"{c}_log" for c in seg.LOGGED], "momentum_winsor"))
 
 
@@ -74,12 +82,12 @@ def skew_sql(x):
     return f"(avg(pow({x}, 3)) - 3 * avg({x}) * avg(pow({x}, 2)) + 2 * pow(avg({x}), 3)) / pow(avg(pow({x}, 2)) - pow(avg({x}), 2), 1.5)"
 
 
-@query("os4_skew_change", f"WITH {ACTIVE}, tr AS (SELECT *, " + ", ".join(f"ln(1 + greatest({c}::DOUBLE, 0)) AS {c}_log" for c in seg.LOGGED)
-       + ", least(greatest(momentum, lo), hi) AS momentum_winsor FROM act, (SELECT quantile_cont(momentum, 0.01) AS lo, quantile_cont(momentum, 0.99) AS hi FROM act)) "
+@query("os4_skew_change", f"WITH {CALM}, tr AS (SELECT *, " + ", ".join(f"ln(1 + greatest({c}::DOUBLE, 0)) AS {c}_log" for c in seg.LOGGED)
+       + ", least(greatest(momentum, lo), hi) AS momentum_winsor FROM calm, (SELECT quantile_cont(momentum, 0.01) AS lo, quantile_cont(momentum, 0.99) AS hi FROM calm)) "
        + " UNION ALL ".join(f"SELECT '{a}' AS feature, round({skew_sql(a + '::DOUBLE')}, 3) AS skew_before, round({skew_sql(b)}, 3) AS skew_after FROM tr"
                             for a, b in [*[(c, f"{c}_log") for c in seg.LOGGED], ("momentum", "momentum_winsor")]))
 def _(spark, d):
-    out = seg.skew_change(seg.transform(outlets(spark, d).where("is_active")))
+    out = seg.skew_change(seg.transform(calm(spark, d)))
     return out.select("feature", F.round("skew_before", 3).alias("skew_before"), F.round("skew_after", 3).alias("skew_after"))
 
 
@@ -89,7 +97,7 @@ VIF_INPUT = [*[f"{c}_log" for c in seg.LOGGED], "active_months", "loyalty_ratio"
 
 @query("os5_variance_inflation")
 def _(spark, d):
-    kept, dropped = seg.drop_collinear(seg.transform(outlets(spark, d).where("is_active")), VIF_INPUT)
+    kept, dropped = seg.drop_collinear(seg.transform(calm(spark, d)), VIF_INPUT)
     rows = [(c, float(v), True) for c, v in kept.items()] + [(c, None, False) for c in dropped]
     return spark.createDataFrame(rows, "feature string, vif double, kept boolean")
 
@@ -147,20 +155,20 @@ def _(spark, d):
 @query("os10_kmeans")
 def _(spark, d):
     scaled, _table = scaled_input(spark, d)
-    return seg.assign(seg.best_kmeans(scaled, 2, 20), scaled)
+    return seg.assign(seg.best_kmeans(scaled), scaled)
 
 
 @query("os11_cluster_profile")
 def _(spark, d):
     scaled, table = scaled_input(spark, d)
-    return seg.cluster_profile(seg.assign(seg.best_kmeans(scaled, 2, 5), scaled), table, FEATURES)
+    return seg.cluster_profile(seg.assign(seg.best_kmeans(scaled), scaled), table, FEATURES)
 
 
 @query("os11_cluster_by_region")
 def _(spark, d):
     scaled, table = scaled_input(spark, d)
     regions = [r[0] for r in i.region(spark, d).select("region").distinct().orderBy("region").collect()]
-    return seg.cluster_by_place(seg.assign(seg.best_kmeans(scaled, 2, 5), scaled), table, "region", regions)
+    return seg.cluster_by_place(seg.assign(seg.best_kmeans(scaled), scaled), table, "region", regions)
 
 
 @query("os12_segments")
