@@ -37,7 +37,7 @@ from stockloom.llm.common import free_name, stage
 
 LENGTH = 200
 #: Bytes of texts hashed at once, and of regions in one suffix array.
-GROUP, SHARD = 2 << 20, 1_900_000
+GROUP, SHARD = 1 << 20, 900_000
 #: Regions of one anchor that one task takes.
 TASK = 16384
 U = np.uint64
