@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import free_name, stage
+from stockloom.llm.common import stage
 from stockloom.llm.components import components
+from stockloom.llm.similar import one_of_each  # noqa: F401
 
 #: Buckets of up to this many fingerprints are compared directly.
 DIRECT = 1024
@@ -289,21 +290,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (64 bits), component_id; links are up to ``radius`` differing bits."""
     prints = stage(with_fingerprints(docs.select("doc_id", "text"), shingle))
     return classes(prints, cover=Covering(1, 64, radius, radius))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` (doc_id, text and more) with one row of each class of near copies: that of the least doc_id, then of the least row.
-
-    Fingerprints have 128 bits here, for 64 cannot tell a similarity of 0.8 (some 10
-    bits differ) within a radius that has few tables. Rows without a word stay as
-    they are: they are no copies of a text.
-    """
-    names = [free_name(docs, c) for c in ("f0", "f1")]
-    row, kept = free_name(docs, "row"), free_name(docs, "component_id")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
-    prints = stage(with_fingerprints(numbered.select("doc_id", row, "text"), shingle, names))
-    worded = (F.col(names[0]) != 0) | (F.col(names[1]) != 0)
-    found = classes(prints.where(worded), names, Covering.of_similarity(similarity))
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best")).select(F.col("best")[row].alias(kept))
-    stays = best.union(prints.where(~worded).select(row))
-    return numbered.join(stays, numbered[row] == stays[kept], "left_semi").select(*docs.columns)
