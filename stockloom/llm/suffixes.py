@@ -153,7 +153,9 @@ def _find(length: int):
         if len(a):
             own = np.searchsorted(starts + np.arange(len(starts)), a, "right") - 1
             base = starts[own] + own
-            yield _rows(keys_[own].view(np.uint64), np.zeros(len(a)), keys_[own], sizes[own], a - base, b - base, np.ones(len(a), bool), True)
+            # Copies have the same runs: each once.
+            key, size, a, b = np.unique(np.stack([keys_[own], sizes[own], a - base, b - base]), axis=1)
+            yield _rows(key.view(np.uint64), np.zeros(len(a)), key, size, a, b, np.ones(len(a), bool), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,7 +449,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK) -> DataFrame:
-    """Per text of ``docs`` (doc_id, hash, size, raw) that has any: hash, size, runs [(start, end)] of bytes that go; runs may overlap."""
+    """Per text of ``docs`` (doc_id, hash, size, raw) that has any: hash, size, runs [(start, end)] of bytes that go; runs are different, and may overlap."""
     found = docs.where(F.col("size") >= length).select("hash", "raw").mapInArrow(_find(length), ROW)
     paired = stage(found.repartition("anchor").sortWithinPartitions("anchor", "region").mapInArrow(_pair, ROW))
     regions = paired.where("not covered").select("anchor", "hash", "size", "start", "end", "twin")
@@ -464,7 +466,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK) -> DataFram
     known = crossing.groupBy("signature").agg((F.max("several") | (F.min(F.struct("hash", "start")) != F.max(F.struct("hash", "start")))).alias("again")).where("again")
     late = crossing.where("not several").join(known, "signature").select("hash", "size", "start", "end")
     every = paired.where("covered").select("hash", "size", "start", "end").union(searched.where("signature is null").select("hash", "size", "start", "end")).union(late)
-    return every.groupBy("hash", "size").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    # Each copy of a text puts out its runs; they are the same, and go to the text once.
+    return every.distinct().groupBy("hash", "size").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
