@@ -136,26 +136,6 @@ class Pieces:
                 heappush(queue, (-(score + s + best[start]), count, start, score + s, (start, at, way)))
         return found
 
-    def first_two(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """(score, ids) of the best segmentation, and how much the runner-up loses (inf if there is none).
-
-        The A-star search of ``search`` as far as its first find. The heuristic is exact, so
-        until then it pops the best way's states only, and what is then at the
-        queue's head has the runner-up's score: the least loss of an edge passed over.
-        """
-        edges, best = self._forward(text)
-        at, way, loss = len(text), None, math.inf
-        while at:
-            here, nxt = best[at], None
-            for start, s in edges[at]:
-                lost = here - best[start] - s
-                if lost <= 0 and nxt is None:
-                    nxt = start
-                elif lost < loss:
-                    loss = lost
-            way, at = (nxt, at, way), nxt
-        return best[-1], self._ids(text, way), loss
-
     def _ids(self, text: str, way) -> tuple[int, ...]:
         ids: list[int] = []
         while way is not None:
@@ -207,43 +187,75 @@ def best_of(parts: list[list[Way]], n: int) -> list[Way]:
     """
     base = sum(p[0][0] for p in parts)
     open_ = [i for _, i in nsmallest(n - 1, ((p[0][0] - p[1][0], i) for i, p in enumerate(parts) if len(p) > 1))]
-    loss = lambda choice: sum(parts[open_[k]][0][0] - parts[open_[k]][r][0] for k, r in choice)
+    out = []
+    for lost, choice in choices([[w[0] for w in parts[i]] for i in open_], n):
+        rank = {open_[k]: r for k, r in choice}
+        out.append((base - lost, tuple(x for i, p in enumerate(parts) for x in p[rank.get(i, 0)][1])))
+    return out
+
+
+def choices(scores: list[list[float]], n: int) -> list[tuple[float, tuple]]:
+    """The ``n`` least losses, with the parts (number, rank of the way) that differ from their best.
+
+    ``scores`` are those of each part's ways, best first; parts are in the order of their second way's loss.
+    """
+    loss = lambda choice: sum(scores[k][0] - scores[k][r] for k, r in choice)
     queue, out, count = [(0.0, 0, ())], [], 0
     while queue and len(out) < n:
         lost, _, choice = heappop(queue)
-        rank = {open_[k]: r for k, r in choice}
-        out.append((base - lost, tuple(x for i, p in enumerate(parts) for x in p[rank.get(i, 0)][1])))
-        for nxt in _after(choice, open_, parts):
+        out.append((lost, choice))
+        for nxt in _after(choice, scores):
             count += 1
             heappush(queue, (loss(nxt), count, nxt))
     return out
 
 
-def _after(choice, open_, parts):
+def _after(choice, scores):
     """Each choice follows exactly one other: the last part takes its next way, the next part joins, or it takes the last one's place."""
     if not choice:
-        if open_:
+        if scores:
             yield ((0, 1),)
         return
     k, rank = choice[-1]
-    if rank + 1 < len(parts[open_[k]]):
+    if rank + 1 < len(scores[k]):
         yield (*choice[:-1], (k, rank + 1))
-    if k + 1 < len(open_):
+    if k + 1 < len(scores):
         yield (*choice, (k + 1, 1))
         if rank == 1:
             yield (*choice[:-1], (k + 1, 1))
 
 
+class Ways:
+    """Lists of ways by number; flat arrays, so that there is little to collect."""
+
+    def __init__(self):
+        self.ids, self.first, self.score = array("i"), array("q", [0]), array("d")  # of each way
+        self.begin, self.loss = array("q", [0]), array("d")  # of each list: its first way, and what its second way loses
+
+    def add(self, ways: list[Way]) -> int:
+        for score, ids in ways:
+            self.ids.extend(ids)
+            self.first.append(len(self.ids))
+            self.score.append(score)
+        self.begin.append(len(self.score))
+        self.loss.append(ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf)
+        return len(self.loss) - 1
+
+    def __getitem__(self, k: int) -> list[Way]:
+        return [(self.score[w], tuple(self.ids[self.first[w]:self.first[w + 1]])) for w in range(self.begin[k], self.begin[k + 1])]
+
+
 class Table(dict):
-    """Numbers of chunks, and by number their best pieces, score and loss of the runner-up.
+    """Numbers of chunks, and by number their ``n`` best ways.
 
     A key is the chunk without its one space, or with LITERAL before it where it has
-    none or several. Unknown chunks are searched when they are looked up.
+    none or several. Unknown chunks are searched when they are looked up: each different
+    part of them once, and the parts' ways are merged.
     """
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, n: int = 2):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.n = pieces, n
         self.lengths = np.array([len(t) for t in pieces.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(pieces.texts), np.uint8)
@@ -251,41 +263,33 @@ class Table(dict):
 
     def _empty(self) -> None:
         self.clear()
-        self.ids, self.first, self.score, self.loss = array("i"), array("q", [0]), array("d"), array("d")
-        self.parts: dict[str, int] = {}  # and the same of their parts; flat arrays, so that there is little to collect
-        self.part_ids, self.part_first, self.part_score, self.part_loss = array("i"), array("q", [0]), array("d"), array("d")
-
-    def _part(self, text: str) -> int:
-        score, ids, loss = self.pieces.first_two(text)
-        self.part_ids.extend(ids)
-        self.part_first.append(len(self.part_ids))
-        self.part_score.append(score)
-        self.part_loss.append(loss)
-        self.parts[text] = n = len(self.part_score) - 1
-        return n
+        self.ways = Ways()
+        self.parts: dict[str, int] = {}
+        self.part_ways = Ways()
+
+    def _part(self, text: str) -> list[Way]:
+        k = self.parts.get(text)
+        if k is not None:
+            return self.part_ways[k]
+        ways = self.pieces.search(text, self.n)
+        self.parts[text] = self.part_ways.add(ways)
+        return ways
 
     def __missing__(self, key: str) -> int:
         text = marked(key[1:]) if key[:1] == LITERAL else SPACE + marked(key)
-        score, loss, ids = 0.0, math.inf, self.ids
-        for part in self.pieces.parts(text):
-            k = self.parts.get(part)
-            if k is None:
-                k = self._part(part)
-            score += self.part_score[k]
-            ids.extend(self.part_ids[self.part_first[k]:self.part_first[k + 1]])
-            if self.part_loss[k] < loss:
-                loss = self.part_loss[k]
-        self.first.append(len(ids))
-        self.score.append(score)
-        self.loss.append(loss)
-        self[key] = n = len(self.score) - 1
-        return n
+        parts = [self._part(p) for p in self.pieces.parts(text)]
+        self[key] = k = self.ways.add(parts[0] if len(parts) == 1 else best_of(parts, self.n))
+        return k
 
     def encode(self, text: str) -> tuple[np.ndarray, float, float]:
-        """Best ids, their score, and the runner-up's score (-inf if there is none)."""
+        """Best ids, their score, and the n-th best's score (-inf if there is none)."""
+        found = self.encode_ways(text)
+        return found[0][1], found[0][0], found[self.n - 1][0] if len(found) >= self.n else -math.inf
+
+    def encode_ways(self, text: str) -> list[tuple[float, np.ndarray]]:
+        """The ``n`` best segmentations, or as many as there are: (score, ids), best first."""
         if not text or not self.pieces.separable:
-            ways = self.pieces.encode(text, 2)
-            return np.array(ways[0][1], np.int32), ways[0][0], ways[1][0] if len(ways) > 1 else -math.inf
+            return [(score, np.array(ids, np.int32)) for score, ids in self.pieces.encode(text, self.n)]
         words = text.split(" ")
         if "" in words:  # runs of spaces, or a space at an end
             words = [c[1:] if c[0] == " " and c[1:2] not in (" ", "") else LITERAL + c for c in RUNS.findall(text)]
@@ -293,13 +297,30 @@ class Table(dict):
             words[0] = LITERAL + words[0]
         if len(self) > KEPT:
             self._empty()
-        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        first, score, loss = np.frombuffer(self.first, np.int64), np.frombuffer(self.score), np.frombuffer(self.loss)
-        ids = gathered(np.frombuffer(self.ids, np.int32), first[n], first[n + 1] - first[n])
-        total = float(score[n].sum())
-        low = float(loss[n].min())
-        del first, score, loss
-        return ids, total, total - low
+        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        kept = self.ways
+        first, score, begin, loss = np.frombuffer(kept.first, np.int64), np.frombuffer(kept.score), np.frombuffer(kept.begin, np.int64), np.frombuffer(kept.loss)
+        w, loss = begin[k], loss[k]
+        starts, lengths = first[w], first[w + 1] - first[w]
+        best = gathered(np.frombuffer(kept.ids, np.int32), starts, lengths)
+        total = float(score[w].sum())
+        del first, score, begin  # arrays that are looked at cannot grow
+        # Only the n - 1 chunks whose second way loses least can differ from their best.
+        open_ = [int(loss.argmin())] if self.n == 2 else np.argsort(loss, kind="stable")[:self.n - 1].tolist()
+        open_ = [i for i in open_ if loss[i] < math.inf]
+        ways = [kept[k[i]] for i in open_]
+        out, ends = [], None
+        for lost, choice in choices([[x[0] for x in p] for p in ways], self.n):
+            ids = best
+            if choice:
+                ends = np.cumsum(lengths) if ends is None else ends
+                cut, at = [], 0
+                for i, way in sorted((open_[c], ways[c][r][1]) for c, r in choice):
+                    cut += [best[at:ends[i] - lengths[i]], np.array(way, np.int32)]
+                    at = ends[i]
+                ids = np.concatenate([*cut, best[at:]])
+            out.append((total - lost, ids))
+        return out
 
     def decoded(self, ids: np.ndarray) -> bytes:
         return gathered(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
@@ -312,8 +333,8 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 @lru_cache(maxsize=2)
-def _table(model: bytes) -> Table:
-    return Table(_pieces(model))
+def _table(model: bytes, n: int) -> Table:
+    return Table(_pieces(model), n)
 
 
 @lru_cache(maxsize=2)
@@ -321,62 +342,73 @@ def _pieces(model: bytes) -> Pieces:
     return Pieces.read(model)
 
 
-def segment(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
-    """``docs`` with ids (array of int), score, next_score and decoded.
+def segment(docs: DataFrame, model_path: str, n: int = 2, all_ways: bool = False) -> DataFrame:
+    """``docs`` with ids (array of int), score, next_score, decoded, and with ``all_ways`` also ways.
 
     ``score`` is that of the best segmentation of ``text``, ``next_score`` that of the
     n-th best (null where there are fewer); ``decoded`` is the text back from ids.
-    A null text has null ids, scores and decoded; an empty text no ids and score 0.
+    ``ways`` are the n best (score, ids), or as many as there are, best first.
+    A null text has null ids, scores, decoded and ways; an empty text one way, without ids and of score 0.
     Columns of these names are replaced. ``model_path`` is read by the driver only.
     """
-    docs = docs.drop("ids", "score", "next_score", "decoded")
+    docs = docs.drop("ids", "score", "next_score", "decoded", *(["ways"] if all_ways else []))
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = docs.withColumns({"ids": F.lit(None).cast("array<int>"), "score": F.lit(None).cast("double"), "next_score": F.lit(None).cast("double"), "decoded": F.lit(None).cast("string")}).schema
+    kinds = {"ids": "array<int>", "score": "double", "next_score": "double", "decoded": "string", "ways": "array<struct<score: double, ids: array<int>>>"}
+    if not all_ways:
+        del kinds["ways"]
+    schema = docs.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()}).schema
     names = schema.names
+    lists = pa.list_(pa.int32())
 
-    def rows(text: str | None):
-        if text is None:
-            return None, None, None, None
-        if n == 2:
-            table = _table(model.value)
-            ids, score, following = table.encode(text)
-            return ids, score, following if following > -math.inf else None, table.decoded(ids).decode("utf-8", "surrogatepass")
-        pieces = _pieces(model.value)
-        ways = pieces.encode(text, n)
-        return ways[0][1], ways[0][0], ways[n - 1][0] if len(ways) >= n else None, pieces.decode(ways[0][1])
+    def lists_of_ways(found):
+        flat = [w for f in found for w in f or ()]
+        ends = np.cumsum([0, *(len(f or ()) for f in found)]).tolist()
+        ways = pa.StructArray.from_arrays([pa.array([w[0] for w in flat], pa.float64()), pa.array([w[1] for w in flat], lists)], names=["score", "ids"])
+        return pa.ListArray.from_arrays(pa.array([None if f is None else e for f, e in zip(found, ends)] + ends[-1:], pa.int32()), ways)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model.value, n)
         for b in batches:
             for at in range(0, b.num_rows, 500):  # a batch of long texts is put out in parts
                 part = b.slice(at, 500)
-                ids, score, nxt, text = zip(*map(rows, part.column("text").to_pylist()))
-                columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(score, pa.float64()), pa.array(nxt, pa.float64()), pa.array(text, pa.string())]
+                found = [None if t is None else table.encode_ways(t) for t in part.column("text").to_pylist()]
+                best = [None if f is None else f[0] for f in found]
+                ids, score = [f and f[1] for f in best], [f and f[0] for f in best]
+                nxt = [f[n - 1][0] if f is not None and len(f) >= n else None for f in found]
+                text = [None if x is None else table.decoded(x).decode("utf-8", "surrogatepass") for x in ids]
+                columns = [pa.array(ids, lists), pa.array(score, pa.float64()), pa.array(nxt, pa.float64()), pa.array(text, pa.string())]
+                if all_ways:
+                    columns.append(lists_of_ways(found))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian 32-bit integers), score, next_score, exact per row.
+def digest(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian 32-bit integers), score, next_score, exact, ways_crc32 per row.
 
-    As ``segment`` with n = 2, but ids stay in the task, and chunks that were searched before are only
-    looked up. ``exact`` is whether decoding gave the text back. A null text has no pieces, and is exact.
+    As ``segment``, but ids stay in the task, and chunks that were searched before are only
+    looked up. ``exact`` is whether decoding gave the text back; ``ways_crc32`` are those of the n best
+    segmentations, or as many as there are. A null text has no pieces and no ways, and is exact.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    crc = lambda ids: zlib.crc32(ids.astype("<i4").tobytes())
 
     def row(text: str | None, table: Table):
         if text is None:
-            return 0, 0, None, None, True
-        ids, score, following = table.encode(text)
-        return len(ids), zlib.crc32(ids.astype("<i4").tobytes()), score, following if following > -math.inf else None, table.decoded(ids) == text.encode("utf-8", "surrogatepass")
+            return 0, 0, None, None, True, []
+        ways = table.encode_ways(text)
+        score, ids = ways[0]
+        sums = [crc(w[1]) for w in ways]
+        return len(ids), sums[0], score, ways[n - 1][0] if len(ways) >= n else None, table.decoded(ids) == text.encode("utf-8", "surrogatepass"), sums
 
-    kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "next_score": pa.float64(), "exact": pa.bool_()}
+    kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "next_score": pa.float64(), "exact": pa.bool_(), "ways_crc32": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model.value)
+        table = _table(model.value, n)
         for b in batches:
             found = list(zip(*[row(t, table) for t in b.column("text").to_pylist()])) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, k) for v, k in zip(found, kinds.values())]], names=["doc_id", *kinds])
 
-    schema = docs.select("doc_id").withColumns({"n_pieces": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "next_score": F.lit(None).cast("double"), "exact": F.lit(True)}).schema
+    schema = docs.select("doc_id").withColumns({"n_pieces": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "next_score": F.lit(None).cast("double"), "exact": F.lit(True), "ways_crc32": F.lit(None).cast("array<bigint>")}).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)
