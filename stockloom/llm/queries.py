@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, perplexity, shards, simhash, suffixes, token_blocks, url_rules
+from stockloom.llm import decontaminate, language, nbest, outliers, packing, perplexity, shards, simhash, suffixes, token_blocks, url_rules
 from stockloom.llm.common import stage_path, table
 
 QUERIES = {}
@@ -79,3 +79,8 @@ def op9_sharding(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_sentencepiece_nbest(spark: SparkSession, d: str) -> DataFrame:
     return nbest.digest(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
