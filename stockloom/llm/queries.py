@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, packing, perplexity, shards, simhash, suffixes, token_blocks, url_rules
-from stockloom.llm.common import stage_path, table
+from stockloom.llm import decontaminate, language, nbest, outliers, packing, perplexity, prefix_trie, shards, simhash, suffixes, token_blocks, url_rules
+from stockloom.llm.common import stage, stage_path, table
 
 QUERIES = {}
 CHECKS: dict[str, str] = {}
@@ -81,6 +81,15 @@ def op10_sentencepiece_nbest(spark: SparkSession, d: str) -> DataFrame:
     return nbest.digest(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    turns = prefix_trie.rebuilt(stage(prefix_trie.numbered(table(spark, d, "conversations"))), family=20, heads=4)
+    return prefix_trie.trie(turns).drop(*prefix_trie.SUMS)
+
+
+CHECKS["op12_prefix_trie"] = prefix_trie.sql()
+
+
 @query
 def op13_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
