@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from stockloom.llm import decontaminate, language, nbest, outliers, packing, perplexity, prefix_trie, shards, simhash, suffixes, token_blocks, url_rules
+from stockloom.llm import decontaminate, language, nbest, outliers, packing, perplexity, phrases, prefix_trie, shards, simhash, suffixes, token_blocks, url_rules
 from stockloom.llm.common import stage, stage_path, table
 
 QUERIES = {}
@@ -81,6 +81,14 @@ def op10_sentencepiece_nbest(spark: SparkSession, d: str) -> DataFrame:
     return nbest.digest(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.phrases(table(spark, d, "documents"), least=100, longest=5, top=2000)
+
+
+CHECKS["op11_phrase_mining"] = phrases.sql()
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
     turns = prefix_trie.rebuilt(stage(prefix_trie.numbered(table(spark, d, "conversations"))), family=20, heads=4)
