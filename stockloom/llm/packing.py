@@ -4,8 +4,8 @@ Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the d
 a configuration is a multiset of lengths that fits into a sequence, and the program asks for the
 fewest sequences whose configurations hold all pieces. Multiplicative weights solve it: each length
 has a weight that falls as it is covered; each round a knapsack over the capacity prices the best
-configuration. Whole parts of the solution are taken, and what is left is filled length by
-length, largest first, each sequence as full as it can be. Pieces then find their places from
+configuration. Whole parts of the solution are taken, and what is left is filled by the better of two
+ways: the largest length and what fills its sequence best, or best fit. Pieces then find their places from
 their number among all of their length; no piece passes through the driver.
 """
 
@@ -91,31 +91,78 @@ def fullest(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
     return copies
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 600, step: float = 0.25) -> Plan:
-    """Configurations ((size, copies) pairs) and how many sequences take each; together they hold exactly ``counts``."""
-    out: Plan = [([(capacity, 1)], counts[capacity])] if counts.get(capacity) else []
-    sizes = np.array(sorted(s for s, n in counts.items() if n and s < capacity), np.int64)
-    left = np.array([counts[s] for s in sizes.tolist()], np.int64)
-
-    def take(copies: np.ndarray, times: int) -> None:
-        left[:] -= copies * times
-        out.append(([(int(sizes[i]), int(copies[i])) for i in np.flatnonzero(copies)[::-1]], times))
-
-    for key, times in sorted(fractional(sizes, left.copy(), capacity, rounds, step).items(), key=lambda x: (-x[1], x[0])) if len(sizes) else ():
-        copies = np.array(key)
-        used = copies > 0
-        if (n := min(int(times), int((left[used] // copies[used]).min()))) and copies @ sizes == capacity:
-            take(copies, n)
+def by_fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
+    """Configurations that hold ``left``: the largest size there is, and what fills the rest best."""
+    left, out = left.copy(), []
     while left.any():
         i = int(np.flatnonzero(left)[-1])
-        one = np.zeros(len(sizes), np.int64)
-        one[i] = 1
-        copies = one + fullest(sizes, left - one, capacity - int(sizes[i]))
+        copies = np.zeros(len(sizes), np.int64)
+        copies[i] = 1
+        copies += fullest(sizes, left - copies, capacity - int(sizes[i]))
         used = copies > 0
-        take(copies, int((left[used] // copies[used]).min()))
+        times = int((left[used] // copies[used]).min())
+        left -= copies * times
+        out.append((_listed(sizes, copies), times))
     return out
 
 
+def by_best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
+    """Configurations that hold ``left``: sizes falling, each to the least room that takes it; alike sequences at a time."""
+    rooms: dict[int, list] = {}
+    for i in range(len(sizes) - 1, -1, -1):
+        size, n = int(sizes[i]), int(left[i])
+        while n:
+            room = min((r for r in rooms if r >= size), default=capacity)
+            held, there = rooms[room].pop() if room in rooms else ([], n)
+            if not rooms.get(room, True):
+                del rooms[room]
+            copies = min(room // size, n)
+            times = min(there, n // copies)
+            if held and there > times:
+                rooms.setdefault(room, []).append((held, there - times))
+            rooms.setdefault(room - copies * size, []).append(([*held, (size, copies)], times))
+            n -= copies * times
+    return [(held, times) for x in rooms.values() for held, times in x]
+
+
+def _listed(sizes: np.ndarray, copies: np.ndarray) -> list[tuple[int, int]]:
+    return [(int(sizes[i]), int(copies[i])) for i in np.flatnonzero(copies)[::-1]]
+
+
+def rounded(sizes: np.ndarray, demand: np.ndarray, taken: list[tuple[np.ndarray, float]], waste: int, capacity: int) -> tuple[Plan, np.ndarray]:
+    """Whole parts of those configurations that leave at most ``waste`` free, and what they do not hold."""
+    left, out = demand.copy(), []
+    for copies, times in taken:
+        used = copies > 0
+        if capacity - copies @ sizes <= waste and (n := min(int(times), int((left[used] // copies[used]).min()))):
+            left -= copies * n
+            out.append((_listed(sizes, copies), n))
+    return out, left
+
+
+def plan(counts: dict[int, int], capacity: int, rounds: int = 600, step: float = 0.25) -> Plan:
+    """Configurations ((size, copies) pairs) and how many sequences take each; together they hold exactly ``counts``.
+
+    The fractional solution is rounded down, once for each of several bounds on what a configuration
+    may leave free; what is left is filled by best fit or fullest sequences. The fewest sequences count.
+    """
+    full: Plan = [([(capacity, 1)], counts[capacity])] if counts.get(capacity) else []
+    sizes = np.array(sorted(s for s, n in counts.items() if n and s < capacity), np.int64)
+    if not len(sizes):
+        return full
+    demand = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    found = fractional(sizes, demand, capacity, rounds, step)
+    taken = [(np.array(key), times) for key, times in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    size = lambda p: sum(n for _, n in p)
+    least, best = -(-int(demand @ sizes) // capacity), None
+    for waste in (0, capacity >> 8, capacity >> 5, capacity, -1):
+        out, left = rounded(sizes, demand, taken, waste, capacity)
+        for way in (by_best_fit, by_fullest) if waste == 0 else (by_best_fit,):
+            if best is None or size(best) > least:  # else no plan has fewer
+                best = min((x for x in (best, out + way(sizes, left, capacity)) if x is not None), key=size)
+    return full + best
+
+
 def places(rows: Plan) -> dict[str, np.ndarray]:
     """For runs of pieces of a length: key of the first one's number, copies in a sequence, first sequence, first offset; by key."""
     numbered: dict[int, int] = {}

@@ -4,7 +4,7 @@ Texts are cut into words on arrays, and each language's words into blocks of loc
 are frequent enough get ids by frequency. Neighbouring ids of a sequence make pairs; the pairs
 of the ``ZONE`` most frequent ids fall into square tiles of ``TILE`` x ``TILE`` cells, which blocks count by bincount (or
 as sorted coordinates where a block has few) and which are summed in one dense table each, tile
-after tile. Pairs outside that zone are sparse: sorted coordinates of each block, summed in Spark.
+after tile. Pairs outside that zone are sparse: sorted coordinates, dealt to buckets by a hash and summed there.
 Frequent pairs are ranked again and take the place of the ids, so neighbours in the new sequence
 are phrases of one word more; and so on up to the longest phrase.
 
@@ -34,6 +34,8 @@ TILE, TILES = 1 << 10, 16
 ZONE = TILE * TILES
 #: Bytes of one language's text in a block, and of all languages' texts that wait for one.
 BLOCK, WAITING = 8 << 20, 48 << 20
+#: Words that every task knows, and the most bytes of one.
+HOT, HOT_BYTES = 1 << 18, 64
 #: Blocks whose cells one task sums into a tile.
 TOGETHER = 1024
 #: Bits of the bitmap, for each pair and at most.
@@ -145,25 +147,67 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(lang)
 
 
-def _relabelled(staged: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Sequences (block, lang, seq) with the ids of ``ranked``; what it does not have becomes -1."""
+def _relabelled(staged: DataFrame, slots: DataFrame) -> DataFrame:
+    """Sequences (block, lang, seq) with the ids of ``slots`` (home, slot, id, or packed slots and ids); others become -1."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        seq = [unpack_ids(x.as_py()) for x in left.column("seq")]
+        if not seq:
             return left.select(["block", "lang", "seq"])
-        seq = unpack_ids(left.column("seq")[0].as_py())
-        ids = np.full(int(seq.max(initial=0)) + 2, -1)  # the last is that of -1
-        ids[right.column("slot").to_numpy()] = right.column("id").to_numpy()
-        new = squeezed(ids[seq])
-        return left.select(["block", "lang"]).append_column("seq", pa.array([pack_ids(new)], pa.binary()))
+        ids = np.full(int(seq[0].max(initial=0)) + 2, -1)  # the last is that of -1
+        for slot, one, packed, many in zip(*(right.column(c).to_pylist() for c in ("slot", "id", "slots", "ids"))):
+            if packed is None:
+                ids[slot] = one
+            else:
+                ids[unpack_ids(packed)] = unpack_ids(many)
+        return left.select(["block", "lang"]).append_column("seq", pa.array([pack_ids(squeezed(ids[seq[0]]))], pa.binary()))
 
-    slots = staged.where("slot is not null").join(ranked, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id")
     seqs = staged.where("seq is not null").select("block", "lang", "seq")
     return stage(seqs.groupBy("block").cogroup(slots.groupBy("home")).applyInArrow(run, "block long, lang string, seq binary"))
 
 
+SLOTS = "home long, slot int, id long, slots binary, ids binary"
+
+
+def _slots(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids of the blocks' slots by a join."""
+    none = F.lit(None).cast("binary")
+    return rows.join(ranked, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id", none.alias("slots"), none.alias("ids"))
+
+
+def _word_slots(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Ids of the blocks' words: the ``HOT`` most frequent short ones, which most blocks have, by a table of that size in each task; the rest by a join."""
+    short = ranked.where(F.octet_length("word") <= HOT_BYTES)
+    top = short.orderBy(F.desc("n"), "lang", "word").limit(HOT)
+    top = stage(top.select("lang", "word", "id"))
+    table = top.toArrow()  # at most HOT words of HOT_BYTES
+    langs = table.column("lang").unique().to_pylist()
+    known = rows.sparkSession.sparkContext.broadcast({x: table.filter(pc.equal(table.column("lang"), x)).select(["word", "id"]).combine_chunks() for x in langs})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            out = []
+            for low, high in zip(edges, edges[1:]):
+                if high > low and (hot := known.value.get(b.column("lang")[low].as_py())):
+                    place = pc.index_in(b.column("word").slice(low, high - low), hot.column("word").combine_chunks())
+                    hit = place.is_valid().to_numpy(zero_copy_only=False)
+                    at = place.drop_null().to_numpy()
+                    out.append((int(block[low]), pack_ids(b.column("slot").slice(low, high - low).to_numpy()[hit]), pack_ids(hot.column("id").to_numpy()[at])))
+            if out:
+                home, slots, ids = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64()), pa.array(slots, pa.binary()), pa.array(ids, pa.binary())],
+                                                 names=["home", "slot", "id", "slots", "ids"])
+
+    found = rows.select("block", "lang", "slot", "word").mapInArrow(run, SLOTS)
+    rest = stage(ranked.join(F.broadcast(top.select("lang", "word")), ["lang", "word"], "left_anti").select("lang", "word", "id"))
+    return found.union(_slots(rows, rest, ["word"])) if rest.limit(1).count() else found
+
+
 # -- counting -----------------------------------------------------------------
 
 PAIRS = "lang string, a long, b long, n long"
+CELLS = "lang string, tile int, block long, first binary, second binary, counts binary"
 
 
 def _pairs_batch(lang: str, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -176,79 +220,101 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np
             yield b.column("block")[i].as_py(), b.column("lang")[i].as_py(), unpack_ids(b.column("seq")[i].as_py())
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and tile: the cells that it has, ascending, and their counts."""
-    for block, lang, seq in _sequences(batches):
-        _, a, b = neighbours(seq)
-        near = (a < ZONE) & (b < ZONE)
-        a, b = a[near], b[near]
-        tile = ((a // TILE) * TILES + b // TILE).astype(np.int16)
-        order = np.argsort(tile, kind="stable")
-        cell = ((a % TILE) * TILE + b % TILE).astype(np.uint32)[order]
-        sizes = np.bincount(tile, minlength=TILES * TILES)
-        ends = np.cumsum(sizes)
-        rows = []
-        for t in np.flatnonzero(sizes):
-            here = cell[ends[t] - sizes[t]:ends[t]]
-            if sizes[t] >= TILE * TILE // 32:
-                dense = np.bincount(here, minlength=TILE * TILE)
-                at = np.flatnonzero(dense)
-                n = dense[at]
-            else:
-                at, n = np.unique(here, return_counts=True)
-            rows.append((lang, int(t), block, at.astype("<u4").tobytes(), n.astype("<u4").tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "tile", "block", "cells", "counts"])
+def dense_cells(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, bytes, None, bytes]]:
+    """For each tile that has pairs: steps from cell to cell, and counts."""
+    tile = ((a // TILE) * TILES + b // TILE).astype(np.int16)
+    order = np.argsort(tile, kind="stable")
+    cell = ((a % TILE) * TILE + b % TILE)[order]
+    sizes = np.bincount(tile, minlength=TILES * TILES)
+    ends = np.cumsum(sizes)
+    for t in np.flatnonzero(sizes):
+        here = cell[ends[t] - sizes[t]:ends[t]]
+        if sizes[t] >= TILE * TILE // 32:
+            table = np.bincount(here, minlength=TILE * TILE)
+            at = np.flatnonzero(table)
+            n = table[at]
+        else:
+            at, n = np.unique(here, return_counts=True)
+        yield int(t), pack_ids(np.diff(at, prepend=0)), None, pack_ids(n)
+
+
+def sparse_cells(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """For each bucket that has pairs: sorted coordinates, and counts."""
+    _, at, n = np.unique(codes(a, b), return_index=True, return_counts=True)
+    a, b = a[at], b[at]
+    with np.errstate(over="ignore"):
+        mixed = (a * np.int64(0x1E3779B97F4A7C15) + b) * np.int64(0x3F58476D1CE4E5B9)
+    bucket = (mixed >> 32) % buckets
+    order = np.argsort(bucket, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        yield TILES * TILES + int(bucket[rows[0]]), pack_ids(a[rows]), pack_ids(b[rows]), pack_ids(n[rows])
 
 
-def _summed(least: int):
-    """Sum the cells of one tile after the other in a dense table."""
+def _cells(buckets: int):
+    """What each block has of each tile and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table = None, np.zeros(TILE * TILE, np.int64)
+        for block, lang, seq in _sequences(batches):
+            _, a, b = neighbours(seq)
+            near = (a < ZONE) & (b < ZONE)
+            rows = [(lang, t, block, *cells) for part in (dense_cells(a[near], b[near]), sparse_cells(a[~near], b[~near], buckets)) for t, *cells in part]
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["lang", "tile", "block", "first", "second", "counts"])
+
+    return run
+
+
+def _summed(least_dense: int, least: int):
+    """Sum one tile after the other in a dense table, and one bucket after the other by sorting."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, waiting = None, np.zeros(TILE * TILE, np.int64), []
 
         def flush() -> pa.RecordBatch:
-            at = np.flatnonzero(table >= least)
             lang, tile, _ = now
-            out = _pairs_batch(lang, tile // TILES * TILE + at // TILE, tile % TILES * TILE + at % TILE, table[at])
-            table[:] = 0
-            return out
-
-        for b in batches:
-            for lang, tile, part, cells, counts in zip(*(b.column(c) for c in ("lang", "tile", "part", "cells", "counts"))):
-                here = (lang.as_py(), tile.as_py(), part.as_py())
-                if here != now:
+            if tile < TILES * TILES:
+                at = np.flatnonzero(table >= least_dense)
+                out = _pairs_batch(lang, tile // TILES * TILE + at // TILE, tile % TILES * TILE + at % TILE, table[at])
+                table[:] = 0
+                return out
+            a, b, n = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            code = codes(a, b)
+            order = np.argsort(code)
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            total = np.add.reduceat(n[order], first)
+            at = order[first[total >= least]]
+            return _pairs_batch(lang, a[at], b[at], total[total >= least])
+
+        for rows in batches:
+            for lang, tile, part, first, second, counts in zip(*(rows.column(c).to_pylist() for c in ("lang", "tile", "part", "first", "second", "counts"))):
+                if (lang, tile, part) != now:
                     if now:
                         yield flush()
-                    now = here
-                table[np.frombuffer(cells.as_buffer(), "<u4")] += np.frombuffer(counts.as_buffer(), "<u4")
+                    now = (lang, tile, part)
+                if second is None:
+                    table[np.cumsum(unpack_ids(first))] += unpack_ids(counts)
+                else:
+                    waiting.append((unpack_ids(first), unpack_ids(second), unpack_ids(counts)))
         if now:
             yield flush()
 
     return run
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs outside the tiles, sorted, with their counts in each block."""
-    for _, lang, seq in _sequences(batches):
-        _, a, b = neighbours(seq)
-        far = (a >= ZONE) | (b >= ZONE)
-        a, b = a[far], b[far]
-        if len(a):
-            _, first, n = np.unique(codes(a, b), return_index=True, return_counts=True)
-            yield _pairs_batch(lang, a[first], b[first], n)
-
-
 def pair_counts(seqs: DataFrame, least: int) -> DataFrame:
-    """Pairs of neighbouring ids (lang, a, b, n) that occur at least ``least`` times. ``seqs`` is staged."""
-    parts = max(1, -(-seqs.count() // TOGETHER))
-    cells = seqs.mapInArrow(_cells, "lang string, tile int, block long, cells binary, counts binary")
-    cells = cells.select("lang", "tile", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), "cells", "counts")
+    """Pairs of neighbouring ids (lang, a, b, n) that occur at least ``least`` times. ``seqs`` is staged.
+
+    A tile that more than ``TOGETHER`` blocks may have is summed in parts, whose sums are added by
+    Spark; the number of buckets grows with that of blocks, so a bucket is as large as a few blocks.
+    """
+    blocks = seqs.count()
+    parts, buckets = max(1, -(-blocks // TOGETHER)), max(1, -(-blocks // 4))
+    cells = seqs.mapInArrow(_cells(buckets), CELLS)
+    part = F.when(F.col("second").isNull(), F.pmod(F.xxhash64("block"), F.lit(parts))).otherwise(0).cast("int")
+    cells = cells.select("lang", "tile", part.alias("part"), "first", "second", "counts")
     cells = cells.repartition("lang", "tile", "part").sortWithinPartitions("lang", "tile", "part")
-    dense = cells.mapInArrow(_summed(least if parts == 1 else 1), PAIRS)
-    if parts > 1:
-        dense = dense.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    sparse = seqs.mapInArrow(_sparse, PAIRS).groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    return dense.union(sparse).where(F.col("n") >= least)
+    found = cells.mapInArrow(_summed(least if parts == 1 else 1, least), PAIRS)
+    return found.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least) if parts > 1 else found
 
 
 # -- the next level -----------------------------------------------------------
@@ -297,7 +363,8 @@ def _joined(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
             if len(at):
                 yield from _batch(block, lang, squeezed(new), a=pa.array(a[first]), b=pa.array(b[first]), n=pa.nulls(len(first), pa.int64()))
 
-    return _relabelled(stage(seqs.mapInArrow(run, STAGED)), pairs, ["a", "b"])
+    staged = stage(seqs.mapInArrow(run, STAGED))
+    return _relabelled(staged, _slots(staged.where("slot is not null"), pairs, ["a", "b"]))
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -321,7 +388,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000
     words = stage(words)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     ranked = _ranked(words.where(F.col("n") >= least), ["word"])
-    seqs = _relabelled(staged, ranked.select("lang", "word", "id"), ["word"])
+    seqs = _relabelled(staged, _word_slots(staged.where("slot is not null"), ranked))
     none = F.array().cast("array<bigint>")
     level = ranked.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("first_n"), none.alias("last_n"))
     levels = []

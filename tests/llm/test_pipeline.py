@@ -2,44 +2,16 @@
 
 import numpy as np
 import public_tokenizers
-import xxhash
 
 import corpus_pipeline
 from stockloom.llm import nbest, simhash
 
-from . import brute
+from . import brute, test_similar
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def plain_survivors(texts, similarity=0.8):
-    """doc_ids that stay: the least of each class of links, and texts without a word."""
-    cover = simhash.Covering.of_similarity(similarity)
-    prints = {}
-    for i, t in texts.items():
-        w = (t or "").encode().lower().split()
-        if w:
-            h = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w[k:k + 5])), "little") for k in range(max(1, len(w) - 4))]
-            prints[i] = sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    tables = [m << 64 * s.column for s in cover.slices for m in simhash.masks(s.bits, cover.per_slice)]
-    parent = {i: i for i in prints}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(prints)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            differ = prints[a] ^ prints[b]
-            if differ.bit_count() <= cover.accept and any(not differ & m for m in tables):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {i for i in texts if i not in prints or root(i) == i}
-
-
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near duplicates", "repeats", "decontamination", "encoding"]
 
@@ -65,7 +37,7 @@ def test_every_stage(spark):
 
     docs, before = kept.where("doc_id is not null"), after
     kept = steps["near duplicates"](spark, docs, FOLDER)
-    assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect()} == plain_survivors({i: r.text for i, r in before.items() if i is not None})
+    assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect()} == test_similar.plain({i: r.text for i, r in before.items() if i is not None}, 5, (4, 5))
 
     docs, before = kept, now(kept)
     kept = steps["repeats"](spark, docs, FOLDER)
