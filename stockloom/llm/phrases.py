@@ -33,7 +33,7 @@ from stockloom.operators.ordering import global_rank
 TILE, TILES = 1 << 10, 16
 ZONE = TILE * TILES
 #: Bytes of one language's text in a block, and of all languages' texts that wait for one.
-BLOCK, WAITING = 8 << 20, 48 << 20
+BLOCK, WAITING = 4 << 20, 16 << 20
 #: Words that every task knows, and the most bytes of one.
 HOT, HOT_BYTES = 1 << 18, 64
 #: Blocks whose cells one task sums into a tile.
@@ -134,6 +134,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seq):
             yield from _batch(block, lang, seq, word=words, n=pa.array(n))
             block += 1
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     for b in batches:
         langs = b.column("lang").dictionary_encode()
