@@ -91,3 +91,38 @@ def test_ranges_follow_the_rows_not_the_groups(spark):
     assert ordered.groupBy("g").agg(F.max("pos").alias("top"), F.count("*").alias("n"), F.countDistinct("pos").alias("d")).where("top <> n or d <> n").count() == 0
     placed = rows.repartitionByRange(24, F.struct("g", "v", "id")).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in placed) <= 2 * 12000 / len(placed)
+
+
+def quantile_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n in (("a", 6000), ("b", 3), (None, 900), ("c", 1)):
+        for _ in range(n):
+            x = float(rng.normal())
+            rows.append((g, x, float(rng.integers(0, 4)) if rng.random() > 0.2 else None, 0.0 if rng.random() < 0.8 else x))
+    return rows, spark.createDataFrame([*rows, ("d", None, None, None)], "g string, x double, few double, zeros double")
+
+
+@pytest.mark.parametrize("accuracy", [4000, 50])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_bracketed_quantiles_equal_numpy(spark, by, accuracy):
+    rows, df = quantile_rows(spark)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    columns = ["x", "few", "zeros"]
+    got = {(r.g if by else "all", r.feature, r.prob): (r.n, r.quantile) for r in o.quantiles_long(df, columns, probs, by, accuracy).collect()}
+    want = {}
+    for k, c in enumerate(columns, 1):
+        for g in {r[0] for r in rows} if by else {"all"}:
+            v = [r[k] for r in rows if r[k] is not None and (not by or r[0] == g)]
+            for p in probs if v else []:
+                want[g, c, p] = (len(v), pytest.approx(float(np.quantile(v, p)), abs=1e-12))
+    assert got == want
+    sorted_way = {(r.g if by else "all", r.feature, r.prob): (r.n, r.quantile) for r in o.quantiles_by_order(df, columns, probs, by).collect()}
+    assert sorted_way == got
+
+
+def test_bracket_gathers_few_values(spark):
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).cast("double").alias("x"), F.lit(1.0).alias("one"))
+    out = o.quantiles_long(df, ["x", "one"], [0.5, 0.99])
+    assert {(r.feature, r.prob): r.quantile for r in out.collect()} == {k: v for k, v in {
+        ("x", p): float(np.quantile([i * 7919 % 300_007 for i in range(300_000)], p)) for p in (0.5, 0.99)}.items()} | {("one", 0.5): 1.0, ("one", 0.99): 1.0}
