@@ -6,7 +6,7 @@ rerun alone and no lineage grows across jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.operators import classify, facts, features as ft, modeling as ml, outlets as seg, portfolio as pf, reduce as red
 from stockloom.sources.io import read_any, read_parquet, write_parquet, write_then_scan
@@ -33,7 +33,8 @@ def fact_tables(spark: SparkSession, processed: str, out: str, cash: str = "cash
     bounds = write_then_scan(facts.month_bounds(base), f"{out}/month_bounds.parquet")
     sparse = write_then_scan(facts.pair_months(base), f"{out}/outlet_sku_active_months.parquet")
     grid = facts.fill_months(sparse, facts.PAIR, bounds, {c: 0 for c in facts.DEMAND}, wide=True)
-    write_parquet(grid, f"{out}/outlet_sku_monthly_demand.parquet", "zstd")
+    grid = grid.withColumn("year", F.substring("year_month", 1, 4).cast("int"))
+    write_parquet(grid, f"{out}/outlet_sku_monthly_demand.parquet", "zstd", ["year"])
     activity = write_then_scan(facts.outlet_monthly_activity(base, bounds), f"{out}/outlet_monthly_activity.parquet")
     write_parquet(facts.monthly_territory_demand(sparse, region, facts.month_spine(base)), f"{out}/monthly_territory_demand.parquet")
     write_parquet(facts.outlet_features(activity, cash), f"{out}/outlet_features.parquet")
