@@ -80,7 +80,8 @@ def long_values(df: DataFrame, columns: list[str], by: list[str] | None = None)
 
 
 def quantiles_long(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, accuracy: int = ACCURACY
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
+    accuracy: int = ACCURACY, few_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: (by…, feature, prob, n, quantile).
 
@@ -88,49 +89,54 @@ def quantiles_long(
     values. A second pass counts the values up to either end, and only those strictly
     between are gathered and ordered: about 4 / ``accuracy`` of a large group's rows for
     each probability, however many copies the ends have. A group of few rows is bracketed by its
-    extremes. The counts prove each bracket; should one fail, all values are ordered.
+    extremes. The counts prove each bracket; should one fail, all values are ordered, as they
+    are from the start in a table of at most ``few_rows`` rows, which one range holds.
     """
     by = list(by or [])
-    names = [f"_v{k}" for k in range(len(columns))]
-    narrow = stage(df.select(*by, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, names)]))
+    narrow = stage(df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]))
+    if few_rows is None:
+        few_rows = ROWS_PER_RANGE
+    if narrow.count() <= few_rows:
+        return quantiles_by_order(narrow, columns, probs, by)
     shares = [min(1.0, max(0.0, p + shift / accuracy)) for p in probs for shift in (-2, 2)]
-    sketch = narrow.groupBy(*by).agg(*[x for v in names for x in (
-        F.count(v).alias(f"{v}_n"), F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.percentile_approx(v, shares, accuracy).alias(f"{v}_at"))])
-    cells = [(k, j, v) for k, v in enumerate(names) for j in range(len(probs))]
-    few = {v: F.col(f"{v}_n") <= 2 * accuracy for v in names}
-    ends = stage(sketch.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[F.col(f"{v}_n") for v in names], *[
-        F.when(few[v], F.col(f"{v}_{edge}")).otherwise(F.col(f"{v}_at")[2 * j + side]).alias(f"{v}_{j}_{edge}")
-        for _, j, v in cells for side, edge in enumerate(("min", "max"))]))
+    sketch = narrow.groupBy(*by).agg(*[F.struct(
+        F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.percentile_approx(c, shares, accuracy).alias("at")).alias(f"_s{k}") for k, c in enumerate(columns)])
+
+    def edge(s: str, side: int, name: str) -> Column:
+        wide = F.col(f"{s}.n") > 2 * accuracy
+        return F.array(*[F.when(wide, F.col(f"{s}.at")[2 * j + side]).otherwise(F.col(f"{s}.{name}")) for j in range(len(probs))])
+
+    ends = stage(sketch.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.array(*[F.struct(
+        F.col(f"_s{k}.n").alias("n"), edge(f"_s{k}", 0, "least").alias("low"), edge(f"_s{k}", 1, "most").alias("high")) for k in range(len(columns))]).alias("_ends")))
     if by:
         placed = narrow.join(ends, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]))
     else:
         placed = narrow.crossJoin(F.broadcast(ends))  # one row
-    low, high = (lambda v, j: F.col(f"{v}_{j}_min")), (lambda v, j: F.col(f"{v}_{j}_max"))
-    counts = placed.groupBy(*by).agg(
-        *[F.any_value(c).alias(c) for c in ends.columns if not c.startswith("_by_")],
-        *[F.count_if(x).alias(f"{v}_{j}_{n}") for _, j, v in cells for n, x in (
-            ("below", F.col(v) < low(v, j)), ("from", F.col(v) <= low(v, j)), ("to", F.col(v) < high(v, j)), ("upto", F.col(v) <= high(v, j)))])
+    cells = ", ".join(f"{k}, `{c}`, _ends[{k}]" for k, c in enumerate(columns))
+    long = placed.select(*by, F.expr(f"stack({len(columns)}, {cells}) as (_c, value, _e)")).where("value is not null")
+    value, sides = F.col("value"), [(F.col("_e.low")[j], F.col("_e.high")[j]) for j in range(len(probs))]
+    counts = long.groupBy(*by, "_c").agg(F.any_value("_e").alias("_e"), *[F.count_if(x).alias(f"_{j}_{n}") for j, (low, high) in enumerate(sides) for n, x in (
+        ("below", value < low), ("from", value <= low), ("to", value < high), ("upto", value <= high))])
     groups = [*by, "_c", "_p"]
-    wanted = counts.select(*by, F.explode(F.array(*[F.struct(
-        F.lit(k).alias("_c"), F.lit(j).alias("_p"), F.lit(columns[k]).alias("feature"), F.lit(float(probs[j])).alias("prob"), F.col(f"{v}_n").alias("n"),
-        *[F.col(f"{v}_{j}_{x}").alias(f"_{x}") for x in ("min", "max", "below", "from", "to", "upto")]) for k, j, v in cells])).alias("_x"))
-    wanted = wanted.select(*by, "_x.*").where("n > 0").withColumn("_pos", F.col("prob") * (F.col("n") - 1))
+    wanted = counts.select(*by, "_c", F.explode(F.array(*[F.struct(
+        F.lit(j).alias("_p"), F.lit(float(p)).alias("prob"), F.col("_e.n").alias("n"), F.col("_e.low")[j].alias("_low"), F.col("_e.high")[j].alias("_high"),
+        *[F.col(f"_{j}_{x}").alias(f"_{x}") for x in ("below", "from", "to", "upto")]) for j, p in enumerate(probs)])).alias("_x"))
+    wanted = wanted.select(*by, "_c", F.element_at(F.array(*map(F.lit, columns)), F.col("_c") + 1).alias("feature"), "_x.*").withColumn("_pos", F.col("prob") * (F.col("n") - 1))
     wanted = stage(wanted.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")}))
     if wanted.where((F.col("_below") > F.col("_lo")) | (F.col("_upto") <= F.col("_hi"))).limit(1).count():
-        return quantiles_by_order(df, columns, probs, by)
-    between = {(k, j): (F.col(v) > low(v, j)) & (F.col(v) < high(v, j)) for k, j, v in cells}
-    hits = F.array(*[F.when(x, F.struct(F.lit(k).alias("_c"), F.lit(j).alias("_p"), F.col(names[k]).alias("value"))) for (k, j), x in between.items()])
-    inside = placed.where(reduce(or_, between.values())).select(*by, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_x"))
-    inside = inside.groupBy(*by, "_x._c", "_x._p", "_x.value").agg(F.count("*").alias("copies"))
+        return quantiles_by_order(narrow, columns, probs, by)
+    between = [(value > low) & (value < high) for low, high in sides]
+    hits = F.array(*[F.when(x, F.lit(j)) for j, x in enumerate(between)])
+    inside = long.where(reduce(or_, between)).select(*by, "_c", "value", F.explode(F.array_compact(hits)).alias("_p"))
+    inside = inside.groupBy(*groups, "value").agg(F.count("*").alias("copies"))
     ranked = running_totals(inside, [F.col("value")], {"_until": F.col("copies")}, groups)
     spans = ranked.select(*[F.col(c).alias(f"_by_{c}") for c in groups], "value", (F.col("_until") - F.col("copies")).alias("_since"), "_until")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in groups])
     holds = {x: (F.col(x) - F.col("_from") >= F.col("_since")) & (F.col(x) - F.col("_from") < F.col("_until")) for x in ("_lo", "_hi")}
     met = wanted.join(spans, same & (holds["_lo"] | holds["_hi"])).groupBy(*groups).agg(
         *[F.max(F.when(x, F.col("value"))).alias(f"{n}_in") for n, x in holds.items()])
-    met = met.withColumnsRenamed({c: f"_by_{c}" for c in groups})
-    out = wanted.join(met, same, "left")
-    at = {x: F.when(F.col(x) < F.col("_from"), F.col("_min")).when(F.col(x) >= F.col("_to"), F.col("_max")).otherwise(F.col(f"{x}_in")) for x in ("_lo", "_hi")}
+    out = wanted.join(met.withColumnsRenamed({c: f"_by_{c}" for c in groups}), same, "left")
+    at = {x: F.when(F.col(x) < F.col("_from"), F.col("_low")).when(F.col(x) >= F.col("_to"), F.col("_high")).otherwise(F.col(f"{x}_in")) for x in ("_lo", "_hi")}
     frac = F.col("_pos") - F.floor("_pos")
     return out.select(*by, "feature", "prob", "n", (at["_lo"] + (at["_hi"] - at["_lo"]) * frac).alias("quantile"))
 
