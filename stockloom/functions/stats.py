@@ -1,12 +1,18 @@
-"""Tail probabilities for small result frames, and partial autocorrelation."""
+"""Tail probabilities and partial autocorrelation as column expressions."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
+
+# Coefficients of the logarithm of the gamma function (Lanczos, g = 7).
+LANCZOS = [
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+]
+TINY = 1e-300
 
 
 def chi2_tail_even(stat: Column, dof: int) -> Column:
@@ -21,70 +27,105 @@ def chi2_tail_even(stat: Column, dof: int) -> Column:
     return F.exp(-half) * total
 
 
-def chi2_tail(stat: float | None, dof: float | None) -> float | None:
-    """P(X > stat) for whole degrees of freedom: finite sum of Poisson-like terms."""
-    if stat is None or dof is None or math.isnan(stat) or dof < 1:
-        return None
-    if stat <= 0:
-        return 1.0
-    half, odd = stat / 2.0, int(dof) % 2
-    tail = math.erfc(math.sqrt(half)) if odd else 0.0
-    for k in range(int(dof) // 2):
-        s = k + 0.5 * odd
-        tail += math.exp(s * math.log(half) - half - math.lgamma(s + 1.0))
-    return min(1.0, tail)
-
-
-def beta_ratio(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_ratio(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    den = 1.0 / (1.0 - (a + b) * x / (a + 1.0))
-    num, value = 1.0, den
-    for m in range(1, 300):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for coef in (even, odd):
-            den = 1.0 / ((1.0 + coef * den) or 1e-300)
-            num = (1.0 + coef / num) or 1e-300
-            value *= num * den
-        if abs(num * den - 1.0) < 1e-14:
-            break
-    return front * value
-
-
-def f_tail(stat: float | None, d1: float | None, d2: float | None) -> float | None:
-    """P(F > stat)."""
-    if stat is None or d1 is None or d2 is None or math.isnan(stat) or d1 <= 0 or d2 <= 0:
-        return None
-    return beta_ratio(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * max(stat, 0.0)))
-
-
-@F.pandas_udf(T.DoubleType())
-def chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(s, n) for s, n in zip(stat, dof)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def f_p(stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([f_tail(s, a, b) for s, a, b in zip(stat, d1, d2)], dtype="float64")
-
-
-def partial_autocorrelation(acf: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations of lags 1..k from the autocorrelations of lags 1..k."""
-    phi = np.zeros(0)
-    out = np.empty(len(acf))
-    for k in range(len(acf)):
-        rest = 1.0 - phi @ acf[:k]
-        new = (acf[k] - phi @ acf[:k][::-1]) / rest if rest > 0 else np.nan
-        out[k] = new
-        phi = np.append(phi - new * phi[::-1], new)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def pacf_of(acf: pd.Series) -> pd.Series:
-    return acf.map(lambda a: None if a is None or len(a) == 0 else partial_autocorrelation(np.asarray(a, dtype=float)))
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 0.5."""
+    t = x + 6.5
+    series = reduce(lambda a, b: a + b, [F.lit(LANCZOS[0]), *[F.lit(c) / (x + (i - 1)) for i, c in enumerate(LANCZOS[1:], 1)]])
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.log(t) - t + F.log(series)
+
+
+def _steps(size: Column) -> Column:
+    """1, 2, … for as many terms as sums and fractions of that size may need."""
+    return F.sequence(F.lit(1), (F.lit(80) + 10 * F.sqrt(size)).cast("int"))
+
+
+def _away(x: Column) -> Column:
+    return F.when(F.abs(x) < TINY, TINY).otherwise(x)
+
+
+def gamma_tail(a: Column, x: Column) -> Column:
+    """Regularised upper incomplete gamma: a power series below a + 1, a continued fraction above it."""
+    a, x = a.cast("double"), x.cast("double")
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    series = F.aggregate(
+        _steps(a), F.struct((1.0 / a).alias("term"), (1.0 / a).alias("total")),
+        lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"] * x / (a + k)).alias("total")),
+        lambda s: s["total"])
+
+    def step(s: Column, k: Column) -> Column:
+        part = k * (a - k)
+        b = x + 1 - a + 2 * k
+        d = 1.0 / _away(part * s["d"] + b)
+        c = _away(b + part / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    first = 1.0 / _away(x + 1 - a)
+    fraction = F.aggregate(_steps(a), F.struct(F.lit(1.0 / TINY).alias("c"), first.alias("d"), first.alias("h")), step, lambda s: s["h"])
+    return F.when(x <= 0, 1.0).when(x < a + 1, 1.0 - front * series).otherwise(front * fraction)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    def half(c: Column, d: Column, h: Column, part: Column) -> tuple[Column, Column, Column]:
+        d = 1.0 / _away(1.0 + part * d)
+        c = _away(1.0 + part / c)
+        return c, d, h * c * d
+
+    def even(s: Column, m: Column) -> Column:
+        c, d, h = half(s["c"], s["d"], s["h"], m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def odd(s: Column, m: Column) -> Column:
+        c, d, h = half(s["c"], s["d"], s["h"], -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    start = 1.0 / _away(1.0 - (a + b) * x / (a + 1.0))
+    # the two parts of a step alternate: 2, 3, 4, 5 … stand for (1, even), (1, odd), (2, even), (2, odd) …
+    parts = F.sequence(F.lit(2), 2 * (F.lit(80) + 10 * F.sqrt(F.greatest(a, b))).cast("int") + 1)
+    return F.aggregate(
+        parts, F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("h")),
+        lambda s, k: F.when(k % 2 == 0, even(s, F.floor(k / 2).cast("double"))).otherwise(odd(s, F.floor(k / 2).cast("double"))), lambda s: s["h"])
+
+
+def beta_ratio(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta by its continued fraction, on the side where it converges fast."""
+    a, b, x = a.cast("double"), b.cast("double"), x.cast("double")
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x <= (a + 1) / (a + b + 2), front / a * _beta_fraction(a, b, x)).otherwise(
+        1.0 - front / b * _beta_fraction(b, a, 1.0 - x))
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def chi2_p(stat: Column | str, dof: Column | str) -> Column:
+    """P(X > stat) of a chi-square; NULL for NULL, NaN or less than one degree of freedom."""
+    stat, dof = _column(stat).cast("double"), _column(dof).cast("double")
+    return F.when((dof >= 1) & ~F.isnan(stat), gamma_tail(dof / 2, stat / 2))
+
+
+def f_p(stat: Column | str, d1: Column | str, d2: Column | str) -> Column:
+    """P(F > stat); NULL for NULL, NaN or degrees of freedom that are not positive."""
+    stat, d1, d2 = (_column(c).cast("double") for c in (stat, d1, d2))
+    return F.when((d1 >= 1) & (d2 >= 1) & stat.isNotNull() & ~F.isnan(stat), beta_ratio(d2 / 2, d1 / 2, d2 / (d2 + d1 * F.greatest(stat, F.lit(0.0)))))
+
+
+def pacf_of(acf: Column) -> Column:
+    """Partial autocorrelations of lags 1..k from the array of autocorrelations of lags 1..k (Durbin–Levinson).
+
+    NULL from the first lag whose variance left is not positive.
+    """
+    empty = F.array().cast("array<double>")
+
+    def times(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def step(s: Column, k: Column) -> Column:
+        before = F.slice(acf, F.lit(1), k)
+        rest = 1.0 - times(s["phi"], before)
+        new = F.when(rest > 0, (F.element_at(acf, k + 1) - times(s["phi"], F.reverse(before))) / rest)
+        phi = F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda x, y: x - new * y), F.array(new))
+        return F.struct(phi.alias("phi"), F.concat(s["out"], F.array(new)).alias("out"))
+
+    return F.when(F.size(acf) > 0, F.aggregate(
+        F.sequence(F.lit(0), F.size(acf) - 1), F.struct(empty.alias("phi"), empty.alias("out")), step, lambda s: s["out"]))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -49,6 +50,8 @@ class Settings:
     seed: int = 42
     threshold: float = 0.5
     space: dict = field(default_factory=lambda: dict(SEARCH_SPACE))
+    #: Fits of the search that run side by side.
+    at_once: int = 4
 
 
 def grid_cells() -> list[tuple[int, str, str, bool]]:
@@ -130,16 +133,26 @@ def search(df: DataFrame, build, score, settings: Settings) -> tuple[PipelineMod
     """Random search over expanding month folds, then a refit on all rows.
 
     ``build(params)`` gives an estimator, ``score(scored frame)`` a number to
-    maximise. Only month names and fold scores reach the driver.
+    maximise. ``settings.at_once`` fits run side by side, in scheduler pools of their own
+    (fair where ``spark.scheduler.mode`` is FAIR); their order does not change the
+    result. Only month names and fold scores reach the driver.
     """
     months = [r[0] for r in df.select("year_month").distinct().orderBy("year_month").collect()]  # one row per month
     folds = month_folds(months, settings.folds)
+    candidates = sample_settings(settings.space, settings.n_iter, settings.seed)
+
+    def one(task: tuple[int, dict, tuple[str, str, str]]) -> float | None:
+        at, params, (last, first, end) = task
+        df.sparkSession.sparkContext.setLocalProperty("spark.scheduler.pool", f"search-{at % settings.at_once}")
+        model = build(params).fit(df.where(F.col("year_month") <= last))
+        return score(model.transform(df.where(F.col("year_month").between(first, end))))
+
+    tasks = [(at, params, fold) for at, params in enumerate(candidates) for fold in folds]
+    with ThreadPoolExecutor(settings.at_once) as pool:
+        done = list(pool.map(inheritable_thread_target(df.sparkSession)(one), tasks))
     best, best_score = None, None
-    for params in sample_settings(settings.space, settings.n_iter, settings.seed):
-        scores = []
-        for last, first, end in folds:
-            model = build(params).fit(df.where(F.col("year_month") <= last))
-            scores.append(score(model.transform(df.where(F.col("year_month").between(first, end)))))
+    for at, params in enumerate(candidates):
+        scores = done[at * len(folds):(at + 1) * len(folds)]
         scores = [s for s in scores if s is not None]  # a fold without a row to score says nothing
         if not scores:
             raise ValueError("no fold has a row to score")

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from stockloom.functions.clean import log1p_or_null, ratio
+from stockloom.operators import clusters
 from stockloom.operators.ordering import quantiles
 from stockloom.operators.reduce import correlation_matrix
 from stockloom.operators.relational import column_stats, winsorise
@@ -156,39 +154,24 @@ def clustering_input(mainstream: DataFrame) -> DataFrame:
     return standardise(ready.select("outlet_id", *CLUSTER_INPUT), CLUSTER_INPUT)
 
 
-def _vectors(scaled: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=CLUSTER_INPUT, outputCol="features").transform(scaled)
+def k_sweep(scaled: DataFrame, ks: range = range(1, 11), seed: int = 42, starts: int = 10) -> DataFrame:
+    """Inertia per k and, from two clusters on, the silhouette (squared Euclidean); the cheapest of ``starts`` seeded starts.
 
+    All starts of all k are fitted together, one pass over the outlets for each step.
+    """
+    rows = stage(scaled.select(*CLUSTER_INPUT))
+    found = clusters.best_of(rows, CLUSTER_INPUT, list(ks), starts, seed)
+    score = clusters.silhouettes(rows, CLUSTER_INPUT, {k: f for k, f in found.items() if k > 1})
+    return scaled.sparkSession.createDataFrame([(k, f.cost, float(score.get(k, 0.0))) for k, f in found.items()], "k int, inertia double, silhouette double")
 
-def k_sweep(scaled: DataFrame, ks: range = range(1, 11), seed: int = 42, starts: int = 10) -> DataFrame:
-    """Inertia per k and, from two clusters on, the silhouette (squared Euclidean); the cheapest of ``starts`` seeded starts."""
-    vectors = _vectors(scaled).select("features").persist()
-    try:
-        rows = []
-        for k in ks:
-            if k == 1:
-                # one cluster: the inertia is the total squared deviation
-                cost = scaled.agg(sum((F.var_pop(c) * F.count(c) for c in CLUSTER_INPUT), F.lit(0.0)).alias("c")).first()["c"]
-                rows.append((k, float(cost), 0.0))
-                continue
-            model = min((KMeans(k=k, seed=seed + s).fit(vectors) for s in range(starts)), key=lambda m: m.summary.trainingCost)
-            rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(vectors)))))
-        return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    finally:
-        vectors.unpersist()
-
-
-def best_kmeans(scaled: DataFrame, k: int = 2, starts: int = 20, seed: int = 42) -> KMeansModel:
-    """The cheapest of several seeded starts."""
-    vectors = _vectors(scaled).select("features").persist()
-    try:
-        return min((KMeans(k=k, seed=seed + s).fit(vectors) for s in range(starts)), key=lambda m: m.summary.trainingCost)
-    finally:
-        vectors.unpersist()
-
-
-def assign(model: KMeansModel, scaled: DataFrame) -> DataFrame:
-    return model.transform(_vectors(scaled)).select("outlet_id", F.col("prediction").alias("cluster"))
+
+def best_kmeans(scaled: DataFrame, k: int = 2, starts: int = 20, seed: int = 42) -> np.ndarray:
+    """Centres of the cheapest of several seeded starts, which are fitted together."""
+    return clusters.best_of(stage(scaled.select(*CLUSTER_INPUT)), CLUSTER_INPUT, [k], starts, seed)[k].centres
+
+
+def assign(centres: np.ndarray, scaled: DataFrame) -> DataFrame:
+    return clusters.nearest(scaled, CLUSTER_INPUT, centres).select("outlet_id", "cluster")
 
 
 def name_clusters(assigned: DataFrame, outlets: DataFrame) -> DataFrame:

@@ -162,8 +162,8 @@ def autocorrelation(series: DataFrame, keys: list[str], lags: int = 36) -> DataF
 
 
 def partial_autocorrelation(acf: DataFrame, keys: list[str]) -> DataFrame:
-    """Partial autocorrelation per lag from the short ACF array of each series."""
-    arrays = acf.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_a"))
+    """Partial autocorrelation per lag from the short ACF array of each series; a constant series has none."""
+    arrays = acf.where("acf is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_a"))
     out = arrays.select(*keys, pacf_of(F.col("_a.acf")).alias("_p"))
     return out.select(*keys, F.posexplode("_p").alias("_i", "pacf")).select(*keys, (F.col("_i") + 1).alias("lag"), "pacf")
 

@@ -6,7 +6,7 @@ from stockloom.operators import geography as geo, portfolio as pf
 from stockloom.plans import inputs as i
 from stockloom.plans.q_blocks import r4
 from stockloom.plans.registry import query
-from stockloom.plans.sqlparts import BASE, GRID, TERRITORY
+from stockloom.plans.sqlparts import BASE, GRID, TERRITORY, chi2_p_sql, f_p_sql
 
 GRAINS = {"sku": "item_code", "brand": "brand", "line": "product_line", "category": "product_category"}
 
@@ -113,9 +113,13 @@ def _(spark, d):
     return r4(pf.return_independence(demand, "big").drop("p_value"))
 
 
-@query("pr8_return_independence_p")
+CHI_P = f"SELECT round(chi2, 4) AS chi2, dof, {chi2_p_sql('chi2', 'dof')} AS p_value FROM "
+
+
+@query("pr8_return_independence_p", f"{CHI_P}(WITH {GRID}, " + chi_sql(
+    "SELECT product_category, 'invoice' AS kind, sum(n_invoices) AS n FROM grid GROUP BY 1 UNION ALL SELECT product_category, 'return', sum(n_returns) FROM grid GROUP BY 1", "product_category", "kind") + ")")
 def _(spark, d):
-    return pf.return_independence(i.sparse_demand(spark, d))
+    return r4(pf.return_independence(i.sparse_demand(spark, d)))
 
 
 CONT = f"""{GRID}, m AS (SELECT item_code, product_category, product_line, brand, year_month, sum(gross_quantity) AS q FROM grid GROUP BY ALL),
@@ -205,9 +209,10 @@ def _(spark, d):
     return i.tidy(geo.one_way_anova(years, "region", "gross_sales").drop("p_value"))
 
 
-@query("ge5_region_anova_p")
+@query("ge5_region_anova_p", f"""WITH {ANOVA}, t AS (SELECT (b / df_between) / (w / df_within) AS f_stat, df_between, df_within FROM s)
+SELECT round(f_stat, 4) AS f_stat, df_between, df_within, {f_p_sql('f_stat', 'df_between', 'df_within')} AS p_value FROM t""")
 def _(spark, d):
-    return geo.one_way_anova(geo.territory_years(i.territories(spark, d)), "region", "gross_sales")
+    return r4(geo.one_way_anova(geo.territory_years(i.territories(spark, d)), "region", "gross_sales"))
 
 
 @query("ge6_payment_by_region", f"WITH {BASE} SELECT region, payment_term, sum(net_sales)::DOUBLE AS net_sales, sum(quantity)::BIGINT AS quantity, count(document_number) AS n_invoices FROM base GROUP BY 1, 2")

@@ -6,7 +6,7 @@ from stockloom.operators import facts, opportunity as op, outlets as seg
 from stockloom.plans import inputs as i
 from stockloom.plans.q_blocks import describe_sql, r4
 from stockloom.plans.q_features import CLUSTERS, rule_clusters
-from stockloom.plans.q_market import chi_sql
+from stockloom.plans.q_market import CHI_P, chi_sql
 from stockloom.plans.q_temporal import pattern_sql, sku_patterns
 from stockloom.plans.registry import query
 from stockloom.plans.sqlparts import ACTIVITY, BASE, GRID, OUTLETS
@@ -273,6 +273,6 @@ def _(spark, d):
     return r4(op.cluster_independence(clustered(spark, d)).drop("p_value"))
 
 
-@query("x10_cluster_independence_p")
+@query("x10_cluster_independence_p", f"{CHI_P}(WITH {TIERED}, " + chi_sql("SELECT cluster_definition, region, count(*) AS n FROM co GROUP BY 1, 2", "cluster_definition", "region") + ")")
 def _(spark, d):
-    return op.cluster_independence(clustered(spark, d))
+    return r4(op.cluster_independence(clustered(spark, d)))

@@ -139,7 +139,13 @@ def _(spark, d):
     return i.tidy(t.autocorrelation(t.differenced(all_series(spark, d), KEYS), KEYS))
 
 
-@query("tm10_partial_autocorrelation")
+@query("tm10_partial_autocorrelation", f"""WITH RECURSIVE {SERIES}, {DIFF}, {acf_sql(36)},
+ arr AS (SELECT level, series, list(acf ORDER BY lag) AS a FROM acf WHERE acf IS NOT NULL GROUP BY ALL),
+ dl AS (SELECT level, series, a, 1 AS k, [a[1]] AS phi, a[1] AS p FROM arr
+  UNION ALL SELECT level, series, a, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - nw * phi[k + 1 - j]), nw), nw
+  FROM (SELECT *, (a[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * a[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * a[j]))) AS nw
+   FROM dl WHERE k < len(a)))
+SELECT level, series, k::BIGINT AS lag, round(p, 6) AS pacf FROM dl""")
 def _(spark, d):
     acf = t.autocorrelation(t.differenced(all_series(spark, d), KEYS), KEYS)
     return i.tidy(t.partial_autocorrelation(acf, KEYS))

@@ -103,3 +103,18 @@ outlet_core AS (SELECT outlet_id, sum(gross_sales) AS total_net_sales, CAST(sum(
   FROM recent GROUP BY outlet_id),
 outlets AS (SELECT outlet_core.*, active_months >= 1 AS is_active, territory_id, region, province
   FROM outlet_core JOIN outlet_dims USING (outlet_id) LEFT JOIN places USING (territory_id))"""
+
+
+def chi2_p_sql(stat: str, dof: str) -> str:
+    """The upper tail of a chi-square to four places, by the midpoint rule over t = x + v / (1 - v)."""
+    t = f"({stat} / 2 + (k + 0.5) / 20000 / (1 - (k + 0.5) / 20000))"
+    return f"""(SELECT round(sum(exp(({dof} / 2.0::DOUBLE - 1) * ln({t}) - {t} - lgamma({dof} / 2.0::DOUBLE)) / pow(1 - (k + 0.5) / 20000, 2)) / 20000, 4)
+ FROM range(20000) AS r(k))"""
+
+
+def f_p_sql(stat: str, d1: str, d2: str) -> str:
+    """The upper tail of an F statistic to four places, by the midpoint rule over t = x u^2."""
+    a, b, x = f"({d2} / 2.0::DOUBLE)", f"({d1} / 2.0::DOUBLE)", f"({d2}::DOUBLE / ({d2} + {d1} * {stat}))"
+    u = "((k + 0.5) / 20000)"
+    return f"""(SELECT round(sum(exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + ({a} - 1) * ln({x} * {u} * {u}) + ({b} - 1) * ln(1 - {x} * {u} * {u})) * 2 * {x} * {u}) / 20000, 4)
+ FROM range(20000) AS r(k))"""

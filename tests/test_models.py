@@ -1,3 +1,6 @@
+import math
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,11 +9,30 @@ from stockloom.functions import stats
 from stockloom.operators import metrics as mt, modeling as ml, reduce as red
 
 
-def test_tail_probabilities():
-    assert stats.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05)
-    assert stats.chi2_tail(12.591587243743977, 6) == pytest.approx(0.05)
-    assert stats.f_tail(4.964602743730711, 1, 10) == pytest.approx(0.05)
-    assert stats.chi2_tail(float("nan"), 2) is None
+def plain_chi2_tail(stat, dof):
+    half, odd = stat / 2, dof % 2
+    tail = math.erfc(math.sqrt(half)) if odd else 0.0
+    return tail + sum(math.exp((k + 0.5 * odd) * math.log(half) - half - math.lgamma(k + 0.5 * odd + 1)) for k in range(dof // 2))
+
+
+def plain_f_tail(stat, d1, d2, steps=400_000):
+    x, a, b = d2 / (d2 + d1 * stat), d2 / 2, d1 / 2
+    u = (np.arange(steps) + 0.5) / steps
+    t = x * u * u
+    return float((np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a - 1) * np.log(t) + (b - 1) * np.log1p(-t)) * 2 * x * u).mean())
+
+
+def test_tail_probabilities(spark):
+    rows = [(s * d, float(d), float(d2)) for d in (1, 2, 3, 7, 40, 301) for d2 in (1, 4, 25, 600) for s in (0.2, 0.9, 1.0, 1.3, 3.0)]
+    df = spark.createDataFrame(rows, "x double, d double, d2 double")
+    for r in df.select("*", stats.chi2_p("x", "d").alias("c"), stats.f_p(F.col("x") / F.col("d"), "d", "d2").alias("f")).collect():
+        assert r.c == pytest.approx(plain_chi2_tail(r.x, int(r.d)), rel=1e-8, abs=1e-13)
+        assert r.f == pytest.approx(plain_f_tail(r.x / r.d, r.d, r.d2), rel=2e-4, abs=1e-7)
+    known = spark.createDataFrame([(3.841458820694124, 1.0, 4.964602743730711, 10.0), (12.591587243743977, 6.0, None, 1.0), (float("nan"), 2.0, float("nan"), 2.0), (0.0, 2.0, 0.0, 3.0), (1.0, 0.0, 1.0, None)],
+                                  "x double, d double, f double, d2 double")
+    got = known.select(stats.chi2_p("x", "d"), stats.f_p("f", "d", "d2")).collect()
+    assert got[0] == (pytest.approx(0.05), pytest.approx(0.05)) and got[1][0] == pytest.approx(0.05)
+    assert got[1][1] is None and tuple(got[2]) == (None, None) and tuple(got[3]) == (1.0, 1.0) and tuple(got[4]) == (None, None)
 
 
 def test_month_folds_expand():
@@ -67,3 +89,35 @@ def test_two_stage_predicts_zero_below_threshold(spark, tmp_path):
     assert all((r.predicted_qty == 0.0) == (r.x <= 5) for r in out)
     ml.save_model(reg, str(tmp_path), "reg")
     assert ml.load_model(str(tmp_path), "reg").transform(df).count() == df.count()
+
+
+class Slow:
+    """A stand-in for an estimator: scores are its parameter, and it notes how many fits run at once."""
+
+    running, most, fitted = 0, 0, []
+
+    def __init__(self, x):
+        self.x = x
+
+    def fit(self, df):
+        Slow.running += 1
+        Slow.most = max(Slow.most, Slow.running)
+        time.sleep(0.3)
+        df.count()
+        Slow.fitted.append(self.x)
+        Slow.running -= 1
+        return self
+
+    def transform(self, df):
+        return df.withColumn("p", F.lit(float(self.x)))
+
+
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_search_runs_fits_side_by_side(spark, at_once):
+    Slow.running, Slow.most, Slow.fitted = 0, 0, []
+    df = spark.createDataFrame([(f"m{i:02d}", 1.0) for i in range(13)], "year_month string, y double")
+    settings = ml.Settings(n_iter=4, folds=3, space={"x": [3, 9, 5, 9.0]}, at_once=at_once)
+    model, params, score = ml.search(df, lambda p: Slow(p["x"]), lambda scored: scored.agg(F.avg("p")).first()[0], settings)
+    assert (params["x"], score, model.x) == (9, 9.0, params["x"])
+    assert len(Slow.fitted) == 3 * len(ml.sample_settings(settings.space, 4, settings.seed)) + 1
+    assert Slow.most == 1 if at_once == 1 else 1 < Slow.most <= 4
