@@ -7,6 +7,11 @@ group is small; the number of series may be any.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.clean import month_of, ratio, year_of
@@ -17,6 +22,8 @@ from stockloom.operators.relational import centred_mean, percent_change
 
 UNIT_ROOT_5PCT = -2.86
 KPSS_5PCT = 0.463
+# Response surface of the 5 % critical value with a constant (MacKinnon 2010), by powers of 1 / rows.
+ADF_5PCT = [-2.86154, -2.8903, -4.234, -40.040]
 STRONG_SEASON = 0.6
 
 
@@ -135,6 +142,94 @@ def level_stationarity(series: DataFrame, keys: list[str], lags: int = 12) -> Da
     return sums.select(*keys, stat.alias("kpss"), (stat < KPSS_5PCT).alias("kpss_stationary"))
 
 
+def _arrays(series: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series: its values in order of the months, without NULLs."""
+    pairs = F.array_sort(F.collect_list(F.struct("year_month", F.col("value").cast("double").alias("value"))))
+    return series.where("value is not null").groupBy(*keys).agg(pairs.alias("_s")).select(*keys, F.col("_s.value").alias("_v"))
+
+
+def level_stationarity_auto(series: DataFrame, keys: list[str]) -> DataFrame:
+    """KPSS statistic around a constant whose Bartlett window follows from the data (Hobijn, Franses and Ooms).
+
+    The window grows with the ratio of the first autocovariances' weighted sum to their sum, found by folds over each
+    series' array. A constant series has no statistic.
+    """
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    rows = _arrays(series, keys).withColumn("n", F.size("_v")).withColumn("_m", total(F.col("_v")) / F.col("n"))
+    rows = rows.withColumn("_e", F.transform("_v", lambda x: x - F.col("_m")))
+    n, e = F.col("n").cast("double"), F.col("_e")
+
+    def product(k: Column) -> Column:
+        return total(F.zip_with(F.slice(e, F.lit(1), F.col("n") - k), F.slice(e, k + 1, F.col("n") - k), lambda x, y: x * y))
+
+    def upto(k: Column) -> Column:
+        return F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    first = upto(F.floor(F.pow(n, F.lit(2 / 9))).cast("int"))
+    rows = rows.withColumns({"_p0": product(F.lit(0)), "_c": F.transform(first, lambda k: product(k) / (n / 2))})
+    s0 = F.col("_p0") / n + total(F.col("_c"))
+    s1 = total(F.transform("_c", lambda c, k: c * (k + 1)))
+    ratio_ = F.try_divide(s1, s0)
+    wide = F.floor(1.1447 * F.pow(ratio_ * ratio_, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3))).cast("int")
+    rows = rows.withColumn("lags", F.least(F.coalesce(wide, F.lit(0)), F.col("n") - 1))
+    weighted = total(F.transform(upto(F.col("lags")), lambda k: 2 * (1 - k / (F.col("lags") + 1.0)) * product(k)))
+    sums = F.aggregate(e, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+                       lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + (a["s"] + x) * (a["s"] + x)).alias("q")), lambda a: a["q"])
+    stat = ratio(sums, n * (F.col("_p0") + weighted))
+    return rows.select(*keys, F.col("n").cast("long").alias("n"), F.col("lags").cast("long").alias("lags"), stat.alias("kpss"), (stat < KPSS_5PCT).alias("kpss_stationary"))
+
+
+def adf(values: np.ndarray) -> tuple[float, int, int] | None:
+    """Augmented Dickey-Fuller t statistic with a constant, the number of lagged differences and of rows.
+
+    Up to 12 (n / 100)^(1/4) lags compete on the same rows by AIC; the best is fitted again on all rows it
+    can use. None for series that are too short or constant.
+    """
+    n = len(values)
+    most = min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    if most < 0 or np.ptp(values) == 0:
+        return None
+    change = np.diff(values)
+
+    def fitted(lags: int, drop: int) -> tuple[float, float, int]:
+        """(t of the level, AIC, rows) with the first ``drop`` differences left out."""
+        y = change[drop:]
+        x = np.column_stack([values[drop:-1], np.ones(len(y)), *(change[drop - k:len(change) - k] for k in range(1, lags + 1))])
+        q, r = np.linalg.qr(x)
+        if np.abs(np.diag(r)).min() <= 1e-10 * np.abs(np.diag(r)).max() or len(y) <= x.shape[1]:
+            return math.nan, math.inf, len(y)
+        inverse = np.linalg.inv(r)
+        beta = inverse @ (q.T @ y)
+        rest = float(((y - x @ beta) ** 2).sum())
+        error = math.sqrt(rest / (len(y) - x.shape[1])) * math.sqrt(float((inverse[0] ** 2).sum()))
+        return beta[0] / error if error > 0 else math.nan, len(y) * math.log(max(rest, 1e-300) / len(y)) + 2 * x.shape[1], len(y)
+
+    best = min(range(most + 1), key=lambda k: fitted(k, most)[1])
+    t, aic, rows = fitted(best, best)
+    return None if math.isnan(t) or math.isinf(aic) else (t, best, rows)
+
+
+def unit_root_auto(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Augmented Dickey-Fuller test of every series: adf_t, lags chosen by AIC, 5 % critical value for its length, verdict.
+
+    Each series is one array, so tasks fit the series of their batches; a series that is too short or constant
+    has NULLs.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [adf(np.array(v.as_py(), float)) for v in b.column("_v")]
+            critical = [None if f is None else sum(c / f[2] ** k for k, c in enumerate(ADF_5PCT)) for f in found]
+            columns = [*(b.column(k) for k in keys), pa.array([f and f[0] for f in found], pa.float64()), pa.array([f and f[1] for f in found], pa.int64()), pa.array(critical, pa.float64()),
+                       pa.array([None if f is None else f[0] < c for f, c in zip(found, critical)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "adf_t", "lags", "critical_5pct", "adf_stationary"])
+
+    rows = _arrays(series, keys)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    return rows.select(*keys, "_v").mapInArrow(run, f"{head}, adf_t double, lags long, critical_5pct double, adf_stationary boolean")
+
+
 def integration_order(series: DataFrame, keys: list[str]) -> DataFrame:
     """I(1), I(0) or conflict from both screens at level and first difference."""
     diff = differenced(series, keys)

@@ -119,6 +119,33 @@ def _(spark, d):
     return r4(level.unionByName(t.level_stationarity(t.differenced(s, KEYS), KEYS).withColumn("form", F.lit("diff"))))
 
 
+def auto_kpss_sql(source):
+    """KPSS by lists, with the window from the data."""
+    product = lambda k: f"list_sum(list_transform(range(1, n - {k} + 1), lambda j: e[j] * e[j + {k}]))"
+    return f"""(WITH v AS (SELECT level, series, list(value::DOUBLE ORDER BY year_month) AS a FROM {source} GROUP BY ALL),
+ c AS (SELECT level, series, len(a) AS n, list_transform(a, lambda x: x - list_avg(a)) AS e FROM v),
+ f AS (SELECT *, {product('0')} AS p0, list_transform(range(1, floor(pow(n, 2 / 9.0::DOUBLE))::BIGINT + 1), lambda k: {product('k')} / (n / 2)) AS cv FROM c),
+ r AS (SELECT *, list_sum(list_transform(range(1, len(cv) + 1), lambda k: k * cv[k])) / nullif(p0 / n + list_sum(cv), 0) AS ra FROM f),
+ w AS (SELECT *, least(coalesce(floor(1.1447::DOUBLE * pow(ra * ra, 1 / 3.0::DOUBLE) * pow(n, 1 / 3.0::DOUBLE)), 0), n - 1)::BIGINT AS lags FROM r)
+ SELECT level, series, n::BIGINT AS n, lags, list_sum(list_transform(range(1, n + 1), lambda j: pow(list_sum(e[1:j]), 2)))
+  / nullif(n * (p0 + coalesce(list_sum(list_transform(range(1, lags + 1), lambda k: 2 * (1 - k / (lags + 1.0::DOUBLE)) * {product('k')})), 0)), 0) AS kpss FROM w)"""
+
+
+@query("tm7_level_stationarity_auto", f"WITH {SERIES}, {DIFF} SELECT 'level' AS form, level, series, n, lags, round(kpss, 4) AS kpss, kpss < 0.463 AS kpss_stationary FROM {auto_kpss_sql('series')} "
+       f"UNION ALL SELECT 'diff', level, series, n, lags, round(kpss, 4), kpss < 0.463 FROM {auto_kpss_sql('d1')}")
+def _(spark, d):
+    s = all_series(spark, d)
+    level = t.level_stationarity_auto(s, KEYS).withColumn("form", F.lit("level"))
+    return r4(level.unionByName(t.level_stationarity_auto(t.differenced(s, KEYS), KEYS).withColumn("form", F.lit("diff"))))
+
+
+@query("tm6_unit_root_auto")
+def _(spark, d):
+    s = all_series(spark, d)
+    level = t.unit_root_auto(s, KEYS).withColumn("form", F.lit("level"))
+    return r4(level.unionByName(t.unit_root_auto(t.differenced(s, KEYS), KEYS).withColumn("form", F.lit("diff"))))
+
+
 @query("tm8_integration_order", f"""WITH {SERIES}, {DIFF} SELECT level, series, CASE WHEN d1_df_t < -2.86 AND d1_kpss < 0.463 THEN 'I(1)'
  WHEN df_t < -2.86 AND kpss < 0.463 THEN 'I(0)' ELSE 'conflict' END AS verdict FROM {df_sql('series')} JOIN {kpss_sql('series')} USING (level, series)
  JOIN {df_sql('d1', 'd1_')} USING (level, series) JOIN {kpss_sql('d1', 'd1_')} USING (level, series)""")
