@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.clean import month_of, ratio, year_of
+from stockloom.functions.loess import stl
 from stockloom.functions.stats import chi2_tail_even, pacf_of
 from stockloom.operators.classify import demand_class
 from stockloom.operators.ordering import quantiles
@@ -75,6 +76,30 @@ def decompose(series: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("resid", v - F.col("trend") - F.col("seasonal")).drop("_season", "_part", "_months")
 
 
+def decompose_robust(series: DataFrame, keys: list[str], period: int = 12) -> DataFrame:
+    """Trend, seasonal and residual part by LOESS with robustness weights, for every month of every series.
+
+    A series is one array; tasks decompose the series of their batches. Series of less than two
+    periods have NULL parts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for v in b.column("_v"):
+                y = np.array(v.as_py(), float)
+                found = stl(y, period)
+                parts.append([None] * 3 if found is None else [x.tolist() for x in found])
+            columns = [*(b.column(c) for c in [*keys, "_m", "_v"]), *(pa.array([p[k] for p in parts], pa.list_(pa.float64())) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "_m", "_v", "_t", "_s", "_r"])
+
+    pairs = F.array_sort(F.collect_list(F.struct("year_month", F.col("value").cast("double").alias("value"))))
+    rows = series.where("value is not null").groupBy(*keys).agg(pairs.alias("_p")).select(*keys, F.col("_p.year_month").alias("_m"), F.col("_p.value").alias("_v"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    done = rows.mapInArrow(run, f"{head}, _m array<string>, _v array<double>, _t array<double>, _s array<double>, _r array<double>")
+    cells = F.transform("_m", lambda m, i: F.struct(m.alias("year_month"), F.col("_v")[i].alias("value"), F.col("_t")[i].alias("trend"), F.col("_s")[i].alias("seasonal"), F.col("_r")[i].alias("resid")))
+    return done.select(*keys, F.explode(cells).alias("_x")).select(*keys, "_x.*")
+
+
 def seasonal_strength(parts: DataFrame, keys: list[str]) -> DataFrame:
     """var(seasonal) / (var(seasonal) + var(residual)) over months that have a residual."""
     has = F.col("resid").isNotNull()

@@ -72,6 +72,16 @@ def _(spark, d):
     return i.tidy(t.seasonal_strength(t.decompose(all_series(spark, d), KEYS), KEYS))
 
 
+@query("tm3_robust_decomposition")
+def _(spark, d):
+    return i.tidy(t.decompose_robust(all_series(spark, d), KEYS).select(*KEYS, "year_month", "trend", "seasonal", "resid"))
+
+
+@query("tm3_robust_strength")
+def _(spark, d):
+    return i.tidy(t.seasonal_strength(t.decompose_robust(all_series(spark, d), KEYS), KEYS))
+
+
 @query("tm4_seasonal_index", f"""WITH {SERIES}, m AS (SELECT level, series, right(year_month, 2)::BIGINT AS month_int, avg(value) AS a FROM series GROUP BY ALL),
 x AS (SELECT level, series, month_int, a / g AS ix FROM m JOIN (SELECT level, series, avg(value) AS g FROM series GROUP BY ALL) USING (level, series))
 SELECT level, series, month_int, round(ix, 6) AS seasonal_index, row_number() OVER (PARTITION BY level, series ORDER BY ix DESC, month_int) = 1 AS is_peak,
