@@ -111,6 +111,7 @@ class Words(dict):
     def __init__(self, tokenizer: Tokenizer, letters: dict[int, str]):
         super().__init__()
         self.tokenizer, self.letters = tokenizer, letters
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._empty()
 
     def _empty(self) -> None:
@@ -143,9 +144,9 @@ class Words(dict):
         Where spaces and line feeds do not touch, no token crosses the place
         before one, so the text is looked up word by word. A text with other white space
         (it counts as not printable, as some rare signs do), or with some that touches
-        or ends it, is encoded as a whole.
+        or ends it, is encoded as a whole; so is one with the string of an added token.
         """
-        if any(t in text for t in TOUCHING) or text[-1:] in ("", " ") or not text.replace("\n", "").isprintable():
+        if any(t in text for t in self.added) or any(t in text for t in TOUCHING) or text[-1:] in ("", " ") or not text.replace("\n", "").isprintable():
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > KEPT:
             self._empty()
@@ -167,9 +168,7 @@ def _byte_letters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def _words(model: str) -> Words:
-    tokenizer = Tokenizer.from_str(model)
-    tokenizer.encode_special_tokens = True  # their strings in a text are text
-    return Words(tokenizer, _byte_letters())
+    return Words(Tokenizer.from_str(model), _byte_letters())
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> None:
