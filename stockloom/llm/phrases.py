@@ -34,7 +34,7 @@ TILE, TILES = 1 << 10, 16
 ZONE = TILE * TILES
 #: Bytes of one language's text in a block, and of all languages' texts that wait for one.
 BLOCK, WAITING = 4 << 20, 16 << 20
-#: Words that every task knows, and the most bytes of one.
+#: Words or pairs that every task knows, and the most bytes of a word among them.
 HOT, HOT_BYTES = 1 << 18, 64
 #: Blocks whose cells one task sums into a tile.
 TOGETHER = 1024
@@ -169,20 +169,45 @@ def _relabelled(staged: DataFrame, slots: DataFrame) -> DataFrame:
 SLOTS = "home long, slot int, id long, slots binary, ids binary"
 
 
-def _slots(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Ids of the blocks' slots by a join."""
-    none = F.lit(None).cast("binary")
-    return rows.join(ranked, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id", none.alias("slots"), none.alias("ids"))
+def _word_index(table: pa.Table) -> pa.Table:
+    return table.select(["word", "id"]).combine_chunks()
+
+
+def _find_words(index: pa.Table, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' words the index has, and the ids of those."""
+    place = pc.index_in(rows.column("word"), index.column("word").combine_chunks())
+    return place.is_valid().to_numpy(zero_copy_only=False), index.column("id").to_numpy()[place.drop_null().to_numpy()]
+
+
+def _pair_index(table: pa.Table) -> tuple[np.ndarray, ...]:
+    a, b, ids = (table.column(c).to_numpy() for c in ("a", "b", "id"))
+    firsts, seconds = np.unique(a), np.unique(b)
+    code = np.searchsorted(firsts, a) * len(seconds) + np.searchsorted(seconds, b)
+    order = np.argsort(code)
+    return firsts, seconds, code[order], ids[order]
 
 
-def _word_slots(rows: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Ids of the blocks' words: the ``HOT`` most frequent short ones, which most blocks have, by a table of that size in each task; the rest by a join."""
-    short = ranked.where(F.octet_length("word") <= HOT_BYTES)
-    top = short.orderBy(F.desc("n"), "lang", "word").limit(HOT)
-    top = stage(top.select("lang", "word", "id"))
-    table = top.toArrow()  # at most HOT words of HOT_BYTES
-    langs = table.column("lang").unique().to_pylist()
-    known = rows.sparkSession.sparkContext.broadcast({x: table.filter(pc.equal(table.column("lang"), x)).select(["word", "id"]).combine_chunks() for x in langs})
+def _find_pairs(index: tuple[np.ndarray, ...], rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' pairs the index has, and the ids of those."""
+    firsts, seconds, code, ids = index
+    a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+    at = [np.minimum(np.searchsorted(x, v), len(x) - 1) for x, v in ((firsts, a), (seconds, b))]
+    here = at[0] * len(seconds) + at[1]
+    place = np.minimum(np.searchsorted(code, here), len(code) - 1)
+    hit = (firsts[at[0]] == a) & (seconds[at[1]] == b) & (code[place] == here)
+    return hit, ids[place[hit]]
+
+
+def _slots(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids of the blocks' words or pairs (``keys``): the ``HOT`` most frequent, which most blocks have, by a table of that size in each task; the rest by a join.
+
+    Words of the table have at most ``HOT_BYTES``, so its size is bounded.
+    """
+    index, find = (_word_index, _find_words) if keys == ["word"] else (_pair_index, _find_pairs)
+    short = ranked.where(F.octet_length("word") <= HOT_BYTES) if keys == ["word"] else ranked
+    top = stage(short.orderBy(F.desc("n"), "lang", *keys).limit(HOT).select("lang", *keys, "id"))
+    table = top.toArrow()
+    known = rows.sparkSession.sparkContext.broadcast({x: index(table.filter(pc.equal(table.column("lang"), x))) for x in table.column("lang").unique().to_pylist()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,19 +215,21 @@ def _word_slots(rows: DataFrame, ranked: DataFrame) -> DataFrame:
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             out = []
             for low, high in zip(edges, edges[1:]):
-                if high > low and (hot := known.value.get(b.column("lang")[low].as_py())):
-                    place = pc.index_in(b.column("word").slice(low, high - low), hot.column("word").combine_chunks())
-                    hit = place.is_valid().to_numpy(zero_copy_only=False)
-                    at = place.drop_null().to_numpy()
-                    out.append((int(block[low]), pack_ids(b.column("slot").slice(low, high - low).to_numpy()[hit]), pack_ids(hot.column("id").to_numpy()[at])))
+                if high > low and (hot := known.value.get(b.column("lang")[low].as_py())) is not None:
+                    here = b.slice(low, high - low)
+                    hit, ids = find(hot, here)
+                    out.append((int(block[low]), pack_ids(here.column("slot").to_numpy()[hit]), pack_ids(ids)))
             if out:
                 home, slots, ids = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64()), pa.array(slots, pa.binary()), pa.array(ids, pa.binary())],
                                                  names=["home", "slot", "id", "slots", "ids"])
 
-    found = rows.select("block", "lang", "slot", "word").mapInArrow(run, SLOTS)
-    rest = stage(ranked.join(F.broadcast(top.select("lang", "word")), ["lang", "word"], "left_anti").select("lang", "word", "id"))
-    return found.union(_slots(rows, rest, ["word"])) if rest.limit(1).count() else found
+    found = rows.select("block", "lang", "slot", *keys).mapInArrow(run, SLOTS)
+    rest = stage(ranked.join(F.broadcast(top.select("lang", *keys)), ["lang", *keys], "left_anti").select("lang", *keys, "id"))
+    if not rest.limit(1).count():
+        return found
+    none = F.lit(None).cast("binary")
+    return found.union(rows.join(rest, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id", none.alias("slots"), none.alias("ids")))
 
 
 # -- counting -----------------------------------------------------------------
@@ -348,7 +375,7 @@ def bitmap(pairs: DataFrame, n_bits: int) -> np.ndarray:
 
 
 def _joined(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sequences whose ids are those of ``pairs`` (lang, a, b, id) that start at each place."""
+    """Sequences whose ids are those of ``pairs`` (lang, a, b, n, id) that start at each place."""
     n_bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * pairs.count()).bit_length()))
     known = seqs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(pairs, n_bits)))
 
@@ -389,7 +416,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000
     words = stage(words)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     ranked = _ranked(words.where(F.col("n") >= least), ["word"])
-    seqs = _relabelled(staged, _word_slots(staged.where("slot is not null"), ranked))
+    seqs = _relabelled(staged, _slots(staged.where("slot is not null"), ranked, ["word"]))
     none = F.array().cast("array<bigint>")
     level = ranked.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("first_n"), none.alias("last_n"))
     levels = []
@@ -403,7 +430,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000
         level = stage(level)
         levels.append(level)
         if size < longest:
-            seqs = _joined(seqs, pairs.select("lang", "a", "b", "id"))
+            seqs = _joined(seqs, pairs)
     found = None
     for size, here in enumerate(levels, 2):
         if size < longest:  # what a phrase of one more word holds as often; longer ones hold that one
