@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +109,21 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return out, found.dictionary, np.bincount(k, minlength=len(found.dictionary))
 
 
-STAGED = "block long, lang string, seq binary, slot int, word string, a long, b long, n long"
+STAGED = "block long, lang string, seq binary, slots binary, ids binary, slot int, word string, a long, b long, n long"
 
 
-def _batch(block: int, lang: str, seq: np.ndarray, **rows: pa.Array) -> Iterator[pa.RecordBatch]:
-    """A block's sequence, then its dictionary."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()), ("slot", pa.int32()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+def _batch(block: int, lang: str, seq: np.ndarray, slot: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None, **rows: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A block's sequence, with the slots whose ids are ``known``, then its dictionary."""
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("seq", pa.binary()), ("slots", pa.binary()), ("ids", pa.binary()), ("slot", pa.int32()),
+                        ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
     one = {"block": pa.array([block], pa.int64()), "lang": pa.array([lang]), "seq": pa.array([pack_ids(seq)], pa.binary())}
+    if known is not None:
+        one |= {name: pa.array([pack_ids(x)], pa.binary()) for name, x in zip(("slots", "ids"), known)}
     yield pa.RecordBatch.from_arrays([one.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
-    size = len(rows["n"])
-    many = rows | {"block": pa.array(np.full(size, block)), "lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([lang])).cast(pa.string()), "slot": pa.array(np.arange(size, dtype=np.int32))}
-    yield pa.RecordBatch.from_arrays([many[f.name].cast(f.type) if f.name in many else pa.nulls(size, f.type) for f in schema], schema=schema)
+    size = len(slot)
+    if size:
+        many = rows | {"block": pa.array(np.full(size, block)), "lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([lang])).cast(pa.string()), "slot": pa.array(slot)}
+        yield pa.RecordBatch.from_arrays([many[f.name].cast(f.type) if f.name in many else pa.nulls(size, f.type) for f in schema], schema=schema)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size.pop(lang)
         seq, words, n = cut(pa.concat_arrays([x.cast(pa.large_string()) for x in waiting.pop(lang)]))
         if len(seq):
-            yield from _batch(block, lang, seq, word=words, n=pa.array(n))
+            yield from _batch(block, lang, seq, np.arange(len(words)), word=words, n=pa.array(n))
             block += 1
         pa.default_memory_pool().release_unused()  # the worker lives on
 
@@ -155,6 +159,8 @@ def _relabelled(staged: DataFrame, slots: DataFrame) -> DataFrame:
         if not seq:
             return left.select(["block", "lang", "seq"])
         ids = np.full(int(seq[0].max(initial=0)) + 2, -1)  # the last is that of -1
+        if left.column("slots")[0].is_valid:
+            ids[unpack_ids(left.column("slots")[0].as_py())] = unpack_ids(left.column("ids")[0].as_py())
         for slot, one, packed, many in zip(*(right.column(c).to_pylist() for c in ("slot", "id", "slots", "ids"))):
             if packed is None:
                 ids[slot] = one
@@ -162,7 +168,7 @@ def _relabelled(staged: DataFrame, slots: DataFrame) -> DataFrame:
                 ids[unpack_ids(packed)] = unpack_ids(many)
         return left.select(["block", "lang"]).append_column("seq", pa.array([pack_ids(squeezed(ids[seq[0]]))], pa.binary()))
 
-    seqs = staged.where("seq is not null").select("block", "lang", "seq")
+    seqs = staged.where("seq is not null").select("block", "lang", "seq", "slots", "ids")
     return stage(seqs.groupBy("block").cogroup(slots.groupBy("home")).applyInArrow(run, "block long, lang string, seq binary"))
 
 
@@ -187,10 +193,11 @@ def _pair_index(table: pa.Table) -> tuple[np.ndarray, ...]:
     return firsts, seconds, code[order], ids[order]
 
 
-def _find_pairs(index: tuple[np.ndarray, ...], rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows' pairs the index has, and the ids of those."""
+def _find_pairs(index: tuple[np.ndarray, ...] | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs the index has, and the ids of those."""
+    if index is None or not len(a):
+        return np.zeros(len(a), bool), np.empty(0, np.int64)
     firsts, seconds, code, ids = index
-    a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
     at = [np.minimum(np.searchsorted(x, v), len(x) - 1) for x, v in ((firsts, a), (seconds, b))]
     here = at[0] * len(seconds) + at[1]
     place = np.minimum(np.searchsorted(code, here), len(code) - 1)
@@ -198,16 +205,28 @@ def _find_pairs(index: tuple[np.ndarray, ...], rows: pa.RecordBatch) -> tuple[np
     return hit, ids[place[hit]]
 
 
-def _slots(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """Ids of the blocks' words or pairs (``keys``): the ``HOT`` most frequent, which most blocks have, by a table of that size in each task; the rest by a join.
+def _hot(ranked: DataFrame, keys: list[str]) -> tuple[Broadcast, DataFrame]:
+    """An index by language of the ``HOT`` most frequent words or pairs (``keys``), which most blocks have, and the rows of all others.
 
-    Words of the table have at most ``HOT_BYTES``, so its size is bounded.
+    Words of the index have at most ``HOT_BYTES``, so its size is bounded.
     """
-    index, find = (_word_index, _find_words) if keys == ["word"] else (_pair_index, _find_pairs)
     short = ranked.where(F.octet_length("word") <= HOT_BYTES) if keys == ["word"] else ranked
     top = stage(short.orderBy(F.desc("n"), "lang", *keys).limit(HOT).select("lang", *keys, "id"))
-    table = top.toArrow()
-    known = rows.sparkSession.sparkContext.broadcast({x: index(table.filter(pc.equal(table.column("lang"), x))) for x in table.column("lang").unique().to_pylist()})
+    table, index = top.toArrow(), _word_index if keys == ["word"] else _pair_index
+    known = {x: index(table.filter(pc.equal(table.column("lang"), x))) for x in table.column("lang").unique().to_pylist()}
+    rest = ranked.join(F.broadcast(top.select("lang", *keys)), ["lang", *keys], "left_anti").select("lang", *keys, "id")
+    return ranked.sparkSession.sparkContext.broadcast(known), stage(rest)
+
+
+def _by_join(rows: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids of the blocks' words or pairs that the index does not have."""
+    none = F.lit(None).cast("binary")
+    return rows.join(rest, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id", none.alias("slots"), none.alias("ids"))
+
+
+def _word_slots(rows: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Ids of the blocks' words, those of the index packed in a few rows for each block."""
+    known, rest = _hot(ranked, ["word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,19 +236,15 @@ def _slots(rows: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
             for low, high in zip(edges, edges[1:]):
                 if high > low and (hot := known.value.get(b.column("lang")[low].as_py())) is not None:
                     here = b.slice(low, high - low)
-                    hit, ids = find(hot, here)
+                    hit, ids = _find_words(hot, here)
                     out.append((int(block[low]), pack_ids(here.column("slot").to_numpy()[hit]), pack_ids(ids)))
             if out:
                 home, slots, ids = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64()), pa.array(slots, pa.binary()), pa.array(ids, pa.binary())],
                                                  names=["home", "slot", "id", "slots", "ids"])
 
-    found = rows.select("block", "lang", "slot", *keys).mapInArrow(run, SLOTS)
-    rest = stage(ranked.join(F.broadcast(top.select("lang", *keys)), ["lang", *keys], "left_anti").select("lang", *keys, "id"))
-    if not rest.limit(1).count():
-        return found
-    none = F.lit(None).cast("binary")
-    return found.union(rows.join(rest, ["lang", *keys]).select(F.col("block").alias("home"), "slot", "id", none.alias("slots"), none.alias("ids")))
+    found = rows.select("block", "lang", "slot", "word").mapInArrow(run, SLOTS)
+    return found.union(_by_join(rows, rest, ["word"])) if rest.limit(1).count() else found
 
 
 # -- counting -----------------------------------------------------------------
@@ -375,24 +390,31 @@ def bitmap(pairs: DataFrame, n_bits: int) -> np.ndarray:
 
 
 def _joined(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sequences whose ids are those of ``pairs`` (lang, a, b, n, id) that start at each place."""
-    n_bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * pairs.count()).bit_length()))
-    known = seqs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(pairs, n_bits)))
+    """Sequences whose ids are those of ``pairs`` (lang, a, b, n, id) that start at each place.
+
+    Blocks know the ids of the most frequent pairs; of the others, they name those that the bitmap has.
+    """
+    hot, rest = _hot(pairs, ["a", "b"])
+    n_bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * rest.count()).bit_length()))
+    known = seqs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(rest, n_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = np.unpackbits(known.value).view(bool)
         for block, lang, seq in _sequences(batches):
             at, a, b = neighbours(seq)
-            hit = may[_bits(lang, a, b, n_bits)]
-            at, a, b = at[hit], a[hit], b[hit]
             _, first, local = np.unique(codes(a, b), return_index=True, return_inverse=True)
+            a, b = a[first], b[first]
+            hit, ids = _find_pairs(hot.value.get(lang), a, b)
+            asked = may[_bits(lang, a, b, n_bits)] & ~hit
+            keep = hit | asked
+            slot = np.cumsum(keep) - 1
             new = np.full(len(seq), -1)
-            new[at] = local
-            if len(at):
-                yield from _batch(block, lang, squeezed(new), a=pa.array(a[first]), b=pa.array(b[first]), n=pa.nulls(len(first), pa.int64()))
+            new[at] = np.where(keep, slot, -1)[local]
+            if keep.any():
+                yield from _batch(block, lang, squeezed(new), slot[asked], (slot[hit], ids), a=pa.array(a[asked]), b=pa.array(b[asked]))
 
     staged = stage(seqs.mapInArrow(run, STAGED))
-    return _relabelled(staged, _slots(staged.where("slot is not null"), pairs, ["a", "b"]))
+    return _relabelled(staged, _by_join(staged.where("slot is not null"), rest, ["a", "b"]))
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -416,7 +438,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000
     words = stage(words)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     ranked = _ranked(words.where(F.col("n") >= least), ["word"])
-    seqs = _relabelled(staged, _slots(staged.where("slot is not null"), ranked, ["word"]))
+    seqs = _relabelled(staged, _word_slots(staged.where("slot is not null"), ranked))
     none = F.array().cast("array<bigint>")
     level = ranked.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("first_n"), none.alias("last_n"))
     levels = []
