@@ -83,11 +83,57 @@ def test_op2_query(spark, tokenizer):
 # -- op3 ----------------------------------------------------------------------
 
 
-def test_presence_is_the_set_of_ngrams():
-    s = language.Spectrum(width=1 << 16)
-    sets = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    a, b = " the cat sat ", " the cat ran "
-    assert s.presence(a).sum() == len(sets(a)) and s.presence(a) @ s.presence(b) == len(sets(a) & sets(b))
+def plain_grams(text):
+    t = " " + " ".join(text.lower().split()) + " "
+    return {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_numbers_stand_for_the_set_of_ngrams(monkeypatch):
+    s = language.Spectrum()
+    for a, b in (("the cat sat", "the  CAT ran"), ("\0\U0010ffff", "\U0010ffff\0"), ("日本語 テキスト", "日本 語"), ("", "x")):
+        assert len(s.grams(a)) == len(plain_grams(a)) and len(np.intersect1d(s.grams(a), s.grams(b))) == len(plain_grams(a) & plain_grams(b))
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(4000))
+    whole = s.grams(long)
+    monkeypatch.setattr(language, "SLICE", 1000)
+    assert len(whole) == len(plain_grams(long)) and (s.grams(long) == whole).all()
+
+
+def test_scores_equal_plain_kernel_ridge():
+    rng = random.Random(11)
+    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "the cat sat on a mat".split(), "cc": "日本 語の 文 章".split()}
+    rows = [(lang, " ".join(rng.choices(words[lang] + ["x", "1"], k=rng.randint(2, 12)))) for lang in words for _ in range({"aa": 9, "bb": 20, "cc": 12}[lang])]
+    rows = [(lang, text) for lang, text in rows if language.LETTER.search(text)]
+    marks = [t for lang in words for t in [text for own, text in rows if own == lang][:5]]
+    kernel = lambda a, b: len(plain_grams(a) & plain_grams(b)) / (len(plain_grams(a)) * len(plain_grams(b))) ** 0.5
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    k = np.array([unit([kernel(t, m) for m in marks]) for _, t in rows])
+    size = [sum(own == lang for own, _ in rows) for lang, _ in rows]
+    w = np.diag([len(rows) / (3 * n) for n in size])
+    y = np.array([[1.0 if own == lang else -1.0 for lang in words] for own, _ in rows])
+    between = np.array([[kernel(a, b) for b in marks] for a in marks])
+    weights = np.linalg.inv(k.T @ w @ k + 0.01 * between + 1e-6 * len(rows) * np.eye(len(marks))) @ (k.T @ w @ y)
+    model = language.fitted(rows, landmarks=5)
+    asked = [t for _, t in rows] + ["lorem cat 語の", "zzz"]
+    names, scores = model.predict(asked)
+    for text, name, score in zip(asked, names, scores):
+        v = unit([kernel(text, m) for m in marks]) @ weights
+        share = np.exp(4 * v) / np.exp(4 * v).sum()
+        assert abs(score - share.max()) < 1e-3 and share[list(words).index(name)] > share.max() - 1e-3
+
+
+def test_very_long_texts_keep_their_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~language.held_out(docs)))
+    for lang in model.languages:
+        texts = [r.text for r in docs.where(language.held_out(docs) & (F.col("lang") == lang) & F.col("text").isNotNull()).select("text").collect()]
+        joined = " ".join(texts)
+        names, scores = model.predict([joined, " ".join([joined] * (5_000_000 // len(joined) + 1))])
+        assert names == [lang] * 2 and min(scores) > 0.9
+
+
+def test_a_repeated_row_and_no_shuffle_of_texts_by_language(spark):
+    docs = spark.createDataFrame([(1, "uno dos", "es", "")] * 50 + [(2, "one two", "en", "")], DOCS)
+    assert [t for t in language.sample(docs, 3)] == [("en", "one two")] + [("es", "uno dos")] * 3
 
 
 def test_language_accuracy_and_edges(spark):
