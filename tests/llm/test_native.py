@@ -1,6 +1,7 @@
 """URL filters, quality rules, decontamination and sharding against plain versions."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -64,6 +65,53 @@ def test_rules_are_mined_and_matched(spark):
     assert {r["page_id"]: r["verdict"] for r in got}[1000] == "block"
 
 
+def plain_rules(baskets, bad, support, confidence):
+    """{tokens: confidence} of all rules that no shorter rule implies, from every frequent set of tokens."""
+    n, rows = len(baskets), {}
+    for i, b in enumerate(baskets):
+        for t in b:
+            rows[t] = rows.get(t, 0) | 1 << i
+    wrong = sum(1 << i for i in bad)
+    found, queue = {}, [((), (1 << n) - 1)]
+    while queue:
+        own, have = queue.pop()
+        for t in sorted(rows):
+            both = have & rows[t]
+            if (not own or t > own[-1]) and both.bit_count() >= support * n:
+                queue.append(((*own, t), both))
+                share = (both & wrong).bit_count() / both.bit_count()
+                if share >= confidence:
+                    found[frozenset((*own, t))] = share
+    return {x: c for x, c in found.items() if not any(y < x and found[y] >= c for y in found)}
+
+
+def test_rules_of_long_urls_are_complete(spark):
+    rng = random.Random(8)
+    pages, labels = [], []
+    for i in range(240):
+        spam = i < 80
+        path = ["always"] + (["zeta", "omega"] if spam or i % 10 == 0 else [])
+        path += [f"strong{k}" for k in range(11)] if spam and i % 2 else [f"calm{k}" for k in range(11)] if not spam and i % 2 else []
+        path += [f"free{k}" for k in range(6) if rng.random() < (0.7 if spam else 0.4)] + [f"once{i}"]
+        pages.append((i, "http://h.org/" + "/".join(path)))
+        labels.append((i, 1 if i % 5 else None, int(spam)))
+    p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sets = {r["page_id"]: set(r["t"]) for r in rows_of(p.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")))}
+    assert max(map(len, sets.values())) >= 20
+    want = plain_rules([sets[i] for i in range(240)], range(80), 0.1, 0.6)
+    rules = rows_of(url_rules.mine(p, q, support=0.1, confidence=0.6))
+    got = {frozenset(x): r["confidence"] for r in rules for x in itertools.product(*r["members"])}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert any(len(x) > 1 for x in want) and frozenset({"p:omega"}) in want
+    new = [(1000, "http://x.com/omega"), (1001, "http://x.com/strong7"), (1002, "http://x.com/calm3/always"), (1003, "http://h.org/free1/free2/free5/free0")]
+    new = spark.createDataFrame(new, "page_id long, url string")
+    own = {r["page_id"]: set(r["t"]) for r in rows_of(new.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")))}
+    for r in rows_of(url_rules.match(new, url_rules.mine(p, q, support=0.1, confidence=0.6)).join(new, "url")):
+        tokens = own.pop(r["page_id"])
+        assert any(x <= tokens for x in want)
+    assert not any(x <= t for x in want for t in own.values())
+
+
 # -- op4 ----------------------------------------------------------------------
 
 TEXTS = [
