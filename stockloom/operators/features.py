@@ -256,13 +256,26 @@ def join_features(
 
     ``carry`` names further columns of ``base`` to keep.
     """
+    rows = base.select(*PAIR, "year_month", "month_int", "cluster_definition", "product_category", "roll_mean_sales_3m", "roll_mean_qty_3m", *list(carry or []))
+    return with_lookups(rows, outlets, sku, seasonal, category_rates).drop("product_category", "roll_mean_sales_3m", "roll_mean_qty_3m")
+
+
+def with_lookups(
+    rows: DataFrame, outlets: DataFrame, sku: DataFrame, seasonal: DataFrame,
+    category_rates: dict[str, float] | None = None, territory: DataFrame | None = None,
+) -> DataFrame:
+    """``rows`` with outlet, SKU and seasonal lookups, segment codes, category return rate and grid cell.
+
+    With ``territory`` (monthly demand of territories) also the context of each row's territory and month.
+    """
     rates = CATEGORY_RETURN_RATES if category_rates is None else category_rates
     place = {"territory_id", "region", "province"}
     kept = [c for c in outlets.columns if c not in place | {"outlet_id", "total_net_sales"}]
     outlet = outlets.select(
         "outlet_id", log1p_or_null(F.col("total_net_sales")).alias("outlet_total_net_sales_log"),
         *[F.col(c).alias(f"outlet_{c}") for c in kept])
-    rows = base.select(*PAIR, "year_month", "month_int", "cluster_definition", "product_category", "roll_mean_sales_3m", "roll_mean_qty_3m", *list(carry or []))
+    if territory is not None:
+        rows = rows.join(territory_context(territory), ["territory_id", "year_month"], "left")
     joined = rows.join(outlet, "outlet_id", "left").join(sku, "item_code", "left").join(seasonal, ["item_code", "month_int"], "left")
     cluster = F.col("cluster_definition")
     code = remap(cluster, CLUSTER_CODES)
@@ -274,4 +287,4 @@ def join_features(
         "category_return_rate": remap(F.col("product_category"), rates, 0.0) if rates else F.lit(0.0),
         "grid_cell": (code * 3 + F.col("demand_class_encoded")).cast("tinyint"),
         "price_per_unit_roll_3m": F.col("roll_mean_sales_3m") / (F.col("roll_mean_qty_3m") + EPS),
-    }).drop("product_category", "roll_mean_sales_3m", "roll_mean_qty_3m")
+    })

@@ -246,10 +246,24 @@ def train_cell(matrix: DataFrame, cell: tuple[int, str, str, bool], settings: Se
         (clf, p1, s1), (reg, p2, s2) = train_two_stage(train, inputs, settings)
         scored = predict_two_stage(clf, reg, held, settings.threshold)
         return {"cell": number, "models": {"stage1_clf": clf, "stage2_reg": reg}, "params": {"stage1": p1, "stage2": p2},
-                "cv_score": s2, "scored": scored, "cluster": cluster, "demand_class": name}
+                "cv_score": s2, "scored": scored, "fitted": predict_two_stage(clf, reg, train, settings.threshold), "cluster": cluster, "demand_class": name}
     reg, params, score = train_regressor(train, inputs, settings)
     return {"cell": number, "models": {"reg": reg}, "params": {"reg": params}, "cv_score": score,
-            "scored": predict(reg, held), "cluster": cluster, "demand_class": name}
+            "scored": predict(reg, held), "fitted": predict(reg, train), "cluster": cluster, "demand_class": name}
+
+
+def cell_metrics(done: dict, threshold: float = 0.5) -> dict[str, float | None]:
+    """Metrics of a cell of :func:`train_cell`: eval_*, train_wmape and train_mape, and of its first stage F1 and AUC.
+
+    Training rows are scored by the same models, so that a wide gap shows overfitting.
+    """
+    held = evaluate_regression(done["scored"]).first().asDict()
+    fitted = regression_metrics(done["fitted"], "target_qty_raw", "predicted_qty").first()
+    out = {f"eval_{k}": v for k, v in held.items()} | {"train_wmape": fitted["wmape"], "train_mape": fitted["mape"]}
+    if "event_probability" in done["scored"].columns:
+        first = evaluate_classifier(done["scored"], threshold=threshold).first()
+        out |= {"stage1_eval_f1": first["f1"], "stage1_eval_auc": first["auc"]}
+    return out
 
 
 def numeric_inputs(df: DataFrame) -> set[str]:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from stockloom.functions.clean import ratio
 from stockloom.operators.ordering import quantiles
 from stockloom.operators.relational import hash_sample
 from stockloom.sources.io import write_parquet
 
 KEY = ["outlet_id", "item_code", "year_month"]
 CORRELATION_LIMIT = 0.80
+#: Numeric columns that route rows to models; never removed as correlated.
+ROUTING = ["grid_cell"]
 
 
 def attach(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -70,20 +71,14 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> tuple[list[str], n
 
 
 def correlation_frame(df: DataFrame, features: list[str]) -> DataFrame:
-    """Long upper triangle (feature_a, feature_b, pearson_r) from two-pass moments.
+    """Long upper triangle (feature_a, feature_b, pearson_r) of :func:`correlation_matrix`."""
+    return upper_triangle(df.sparkSession, *correlation_matrix(df, features))
 
-    One aggregation for the means, one for the centred products of all pairs.
-    """
-    k = len(features)
-    filled = fill_with_medians(df.select(*features), features)
-    means = filled.agg(*[F.avg(c).alias(f"_m_{c}") for c in features])
-    centred = filled.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in features])
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    sums = centred.agg(*[F.sum(F.col(features[a]) * F.col(features[b])).alias(f"_{a}_{b}") for a, b in pairs])
-    upper = [(a, b) for a, b in pairs if a < b]
-    cells = ", ".join(f"'{features[a]}', '{features[b]}', _{a}_{b}, _{a}_{a}, _{b}_{b}" for a, b in upper)
-    long = sums.select(F.expr(f"stack({len(upper)}, {cells}) as (feature_a, feature_b, _ab, _aa, _bb)"))
-    return long.select("feature_a", "feature_b", ratio(F.col("_ab"), F.sqrt(F.col("_aa") * F.col("_bb"))).alias("pearson_r"))
+
+def upper_triangle(spark: SparkSession, names: list[str], corr: np.ndarray) -> DataFrame:
+    """Rows (feature_a, feature_b, pearson_r) of a matrix that is known already; at most k (k - 1) / 2."""
+    rows = [(a, b, float(corr[x][y])) for x, a in enumerate(names) for y, b in enumerate(names) if x < y]
+    return spark.createDataFrame(rows, "feature_a string, feature_b string, pearson_r double")
 
 
 def correlated_pairs(pairs: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFrame:

@@ -66,11 +66,12 @@ def feature_tables(spark: SparkSession, stage: str, start: str, end: str, base_y
 
 
 def reduced_matrix(spark: SparkSession, stage: str, limit: float = red.CORRELATION_LIMIT) -> DataFrame:
-    """Active rows with lookups, correlated features removed."""
+    """Active rows with outlet, SKU, seasonal and territory features, correlated features removed."""
     wide = red.active_rows(read_parquet(spark, f"{stage}/features_with_targets.parquet"))
-    matrix = wide.join(read_parquet(spark, f"{stage}/enriched_sku_lookup.parquet"), "item_code", "left").join(
-        read_parquet(spark, f"{stage}/seasonal_index_lookup.parquet"), ["item_code", "month_int"], "left")
-    banned = [c for group in ml.DROPPED.values() for c in group]
+    outlets, sku, seasonal, territory = (read_parquet(spark, f"{stage}/{name}.parquet") for name in (
+        "outlet_features", "enriched_sku_lookup", "seasonal_index_lookup", "monthly_territory_demand"))
+    matrix = write_then_scan(ft.with_lookups(wide, outlets, sku, seasonal, territory=territory), f"{stage}/full_modeling_matrix.parquet")
+    banned = [c for group in ml.DROPPED.values() for c in group] + red.ROUTING
     names, corr = red.correlation_matrix(matrix, red.candidate_features(matrix, banned))
     _kept, dropped = red.greedy_drop(names, corr, limit)
     return write_then_scan(matrix.drop(*dropped), f"{stage}/full_reduced_modeling_matrix.parquet")
@@ -87,7 +88,7 @@ def train_cells(spark: SparkSession, stage: str, out: str, settings: ml.Settings
         name = f"model_{cell[0]}_{cell[1].lower().replace(' ', '_')}_{cell[2].lower()}"
         for part, model in done["models"].items():
             ml.save_model(model, out, f"{name}_{part}")
-        scores = ml.evaluate_regression(done["scored"]).first().asDict()
+        scores = ml.cell_metrics(done, settings.threshold)
         params = {f"{part}.{k}": v for part, one in done["params"].items() for k, v in one.items()}
         ml.log_run(spark, runs, name, params, {**scores, "cv_score": done["cv_score"]})
     return read_parquet(spark, runs)

@@ -5,22 +5,26 @@ from pyspark.sql import Window, functions as F
 from stockloom.operators import features as ft, metrics as mt, modeling as ml, reduce as red
 from stockloom.plans import inputs as i
 from stockloom.plans.q_blocks import r4, scratch
-from stockloom.plans.q_features import base_and_outlets, lookups
+from stockloom.plans.q_features import RATES, base_and_outlets, lookups
 from stockloom.plans.registry import query
 from stockloom.plans.sqlparts import GRID
 from stockloom.sources import io
 from stockloom.sources.staging import stage
 
-CORRELATED = ["net_quantity", "net_sales", "lag_qty_1m", "roll_mean_qty_3m", "roll_mean_qty_6m", "roll_mean_qty_12m", "roll_std_qty_6m",
-              "roll_nonzero_count_3m", "roll_nonzero_count_6m", "demand_event_rate_6m", "demand_event_rate_12m", "consecutive_zeros"]
+BANNED = [c for group in ml.DROPPED.values() for c in group] + red.ROUTING
 
 
 def matrix(spark, d):
-    """Activity-filtered feature matrix with targets, segment and class, written once."""
-    rows, _outlets = base_and_outlets(spark, d)
+    """Activity-filtered feature matrix with outlet, SKU, seasonal and territory features, targets, segment and class, written once."""
+    rows, outlets = base_and_outlets(spark, d)
     sku, seasonal = lookups(spark, d)
     wide = red.active_rows(ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows))))
-    return stage(wide.join(sku, "item_code", "left").join(seasonal, ["item_code", "month_int"], "left"))
+    return stage(ft.with_lookups(wide, outlets, sku, seasonal, RATES, i.territories(spark, d)))
+
+
+def correlations(m):
+    """Names and matrix of all candidate features of ``m``."""
+    return red.correlation_matrix(m, red.candidate_features(m, BANNED))
 
 
 W = "WINDOW w AS (PARTITION BY outlet_id, item_code ORDER BY year_month)"
@@ -38,15 +42,12 @@ def _(spark, d):
 @query("mr3_candidate_features")
 def _(spark, d):
     m = matrix(spark, d)
-    banned = [c for group in ml.DROPPED.values() for c in group]
-    return spark.createDataFrame([(c,) for c in red.candidate_features(m, banned)], "feature string")
+    return spark.createDataFrame([(c,) for c in red.candidate_features(m, BANNED)], "feature string")
 
 
 @query("mr4_correlation")
 def _(spark, d):
-    names, corr = red.correlation_matrix(matrix(spark, d), CORRELATED)
-    rows = [(a, b, float(corr[x][y])) for x, a in enumerate(names) for y, b in enumerate(names) if x < y]
-    return r4(spark.createDataFrame(rows, "feature_a string, feature_b string, pearson_r double"))
+    return r4(red.upper_triangle(spark, *correlations(matrix(spark, d))))
 
 
 PAIR_COLUMNS = ["net_quantity", "gross_quantity", "return_quantity", "gross_sales", "n_invoices", "n_returns"]
@@ -62,30 +63,35 @@ def _(spark, d):
 
 @query("mr6_greedy_drop")
 def _(spark, d):
-    names, corr = red.correlation_matrix(matrix(spark, d), CORRELATED)
+    names, corr = correlations(matrix(spark, d))
     kept, dropped = red.greedy_drop(names, corr)
     return spark.createDataFrame([(c, True) for c in kept] + [(c, False) for c in dropped], "feature string, kept boolean")
 
 
 @query("mr9_strongest_partner")
 def _(spark, d):
-    m = matrix(spark, d).select(*CORRELATED)
-    names, corr = red.correlation_matrix(m, CORRELATED)
+    names, corr = correlations(matrix(spark, d))
     kept, dropped = red.greedy_drop(names, corr)
-    return r4(red.strongest_partner(red.correlation_frame(m, names), kept, dropped))
+    return r4(red.strongest_partner(red.upper_triangle(spark, names, corr), kept, dropped))
 
 
 @query("mr7_reduced_tables")
 def _(spark, d):
-    rows, _outlets = base_and_outlets(spark, d)
+    """Every table without the features that greedy removal over the whole matrix drops, for the active keys."""
+    rows, outlets = base_and_outlets(spark, d)
+    sku, seasonal = lookups(spark, d)
     wide = stage(ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows))))
-    active = red.active_rows(wide).select(*red.KEY)
+    whole = stage(ft.with_lookups(red.active_rows(wide), outlets, sku, seasonal, RATES, i.territories(spark, d)))
+    _kept, dropped = red.greedy_drop(*correlations(whole))
+    active = whole.select(*red.KEY)
     tables = {
         "base_features_reduced": wide.drop(*ft.ZERO_COLUMNS, *ft.TARGET_COLUMNS),
         "zero_inflation_features_reduced": wide.select(*red.KEY, *ft.ZERO_COLUMNS),
         "target_features_reduced": wide.select(*red.KEY, *ft.TARGET_COLUMNS),
     }
-    written = {n: red.write_reduced(t, ["roll_mean_qty_3m", "roll_mean_qty_12m", "demand_event_rate_12m"], scratch(spark, n), active) for n, t in tables.items()}
+    written = {n: red.write_reduced(t, dropped, scratch(spark, n), active) for n, t in tables.items()}
+    for n, t, key in (("enriched_sku_lookup_reduced", sku, ["item_code"]), ("seasonal_index_lookup_reduced", seasonal, ["item_code", "month_int"])):
+        written[n] = red.write_reduced(t, dropped, scratch(spark, n), keep=key)
     return io.table_report(written)
 
 
@@ -261,6 +267,6 @@ def _(spark, d):
     for cell in ml.grid_cells():
         done = ml.train_cell(m, cell, FAST)
         if done is not None:
-            score = ml.evaluate_regression(done["scored"]).first()
-            rows.append((cell[0], cell[1], cell[2], cell[3], int(score["n"]), score["wmape"]))
-    return spark.createDataFrame(rows, "grid_cell int, cluster string, demand_class string, two_stage boolean, n bigint, wmape double")
+            score = ml.cell_metrics(done, FAST.threshold)
+            rows.append((*cell, int(score["eval_n"]), score["eval_wmape"], score["train_wmape"], score.get("stage1_eval_f1"), score.get("stage1_eval_auc")))
+    return spark.createDataFrame(rows, "grid_cell int, cluster string, demand_class string, two_stage boolean, n bigint, wmape double, train_wmape double, stage1_f1 double, stage1_auc double")

@@ -77,7 +77,7 @@ def plain_rules(baskets, bad, support, confidence):
         own, have = queue.pop()
         for t in sorted(rows):
             both = have & rows[t]
-            if (not own or t > own[-1]) and both.bit_count() >= support * n:
+            if (not own or t > own[-1]) and both.bit_count() >= support * n and (both & wrong).bit_count() >= support * confidence * n:
                 queue.append(((*own, t), both))
                 share = (both & wrong).bit_count() / both.bit_count()
                 if share >= confidence:
@@ -91,8 +91,8 @@ def test_rules_of_long_urls_are_complete(spark):
     for i in range(240):
         spam = i < 80
         path = ["always"] + (["zeta", "omega"] if spam or i % 10 == 0 else [])
-        path += [f"strong{k}" for k in range(11)] if spam and i % 2 else [f"calm{k}" for k in range(11)] if not spam and i % 2 else []
-        path += [f"free{k}" for k in range(6) if rng.random() < (0.7 if spam else 0.4)] + [f"once{i}"]
+        path += [f"strong{k}" for k in range(8)] if spam and i % 2 else [f"calm{k}" for k in range(11)] if not spam and i % 2 else []
+        path += [f"free{k}" for k in range(6) if rng.random() < (0.7 if spam else 0.4)] + [f"once{i}-{k}" for k in range(4)]
         pages.append((i, "http://h.org/" + "/".join(path)))
         labels.append((i, 1 if i % 5 else None, int(spam)))
     p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
