@@ -14,17 +14,37 @@ from stockloom.sources.staging import stage
 BANNED = [c for group in ml.DROPPED.values() for c in group] + red.ROUTING
 
 
+_PARTS: dict[tuple[str, str], dict] = {}
+
+
+def parts(spark, d):
+    """Staged frames of the folder, worked out once in an application: windowed rows, lookups and matrix.
+
+    The matrix holds the active rows with outlet, SKU, seasonal and territory features,
+    targets, segment and class. The windowed rows are staged before the joins: one plan of both is too
+    long for generated code.
+    """
+    known = _PARTS.setdefault((spark.sparkContext.applicationId, d), {})
+    if not known:
+        rows, outlets = base_and_outlets(spark, d)
+        sku, seasonal = lookups(spark, d)
+        wide = stage(ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows))))
+        territory = stage(i.territories(spark, d))
+        whole = stage(ft.with_lookups(red.active_rows(wide), outlets, sku, seasonal, RATES, territory))
+        known.update(wide=wide, sku=sku, seasonal=seasonal, matrix=whole)
+    return known
+
+
 def matrix(spark, d):
-    """Activity-filtered feature matrix with outlet, SKU, seasonal and territory features, targets, segment and class, written once."""
-    rows, outlets = base_and_outlets(spark, d)
-    sku, seasonal = lookups(spark, d)
-    wide = red.active_rows(ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows))))
-    return stage(ft.with_lookups(wide, outlets, sku, seasonal, RATES, i.territories(spark, d)))
+    return parts(spark, d)["matrix"]
 
 
-def correlations(m):
-    """Names and matrix of all candidate features of ``m``."""
-    return red.correlation_matrix(m, red.candidate_features(m, BANNED))
+def correlations(spark, d):
+    """Names and Pearson matrix of all candidate features."""
+    known = parts(spark, d)
+    if "correlations" not in known:
+        known["correlations"] = red.correlation_matrix(known["matrix"], red.candidate_features(known["matrix"], BANNED))
+    return known["correlations"]
 
 
 W = "WINDOW w AS (PARTITION BY outlet_id, item_code ORDER BY year_month)"
@@ -47,7 +67,7 @@ def _(spark, d):
 
 @query("mr4_correlation")
 def _(spark, d):
-    return r4(red.upper_triangle(spark, *correlations(matrix(spark, d))))
+    return r4(red.upper_triangle(spark, *correlations(spark, d)))
 
 
 PAIR_COLUMNS = ["net_quantity", "gross_quantity", "return_quantity", "gross_sales", "n_invoices", "n_returns"]
@@ -63,14 +83,14 @@ def _(spark, d):
 
 @query("mr6_greedy_drop")
 def _(spark, d):
-    names, corr = correlations(matrix(spark, d))
+    names, corr = correlations(spark, d)
     kept, dropped = red.greedy_drop(names, corr)
     return spark.createDataFrame([(c, True) for c in kept] + [(c, False) for c in dropped], "feature string, kept boolean")
 
 
 @query("mr9_strongest_partner")
 def _(spark, d):
-    names, corr = correlations(matrix(spark, d))
+    names, corr = correlations(spark, d)
     kept, dropped = red.greedy_drop(names, corr)
     return r4(red.strongest_partner(red.upper_triangle(spark, names, corr), kept, dropped))
 
@@ -78,12 +98,10 @@ def _(spark, d):
 @query("mr7_reduced_tables")
 def _(spark, d):
     """Every table without the features that greedy removal over the whole matrix drops, for the active keys."""
-    rows, outlets = base_and_outlets(spark, d)
-    sku, seasonal = lookups(spark, d)
-    wide = stage(ft.add_targets(ft.add_zero_inflation(ft.lag_rolling_features(rows))))
-    whole = stage(ft.with_lookups(red.active_rows(wide), outlets, sku, seasonal, RATES, i.territories(spark, d)))
-    _kept, dropped = red.greedy_drop(*correlations(whole))
-    active = whole.select(*red.KEY)
+    known = parts(spark, d)
+    wide, sku, seasonal = known["wide"], known["sku"], known["seasonal"]
+    _kept, dropped = red.greedy_drop(*correlations(spark, d))
+    active = known["matrix"].select(*red.KEY)
     tables = {
         "base_features_reduced": wide.drop(*ft.ZERO_COLUMNS, *ft.TARGET_COLUMNS),
         "zero_inflation_features_reduced": wide.select(*red.KEY, *ft.ZERO_COLUMNS),
