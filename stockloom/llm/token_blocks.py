@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stockloom.llm.nbest import gathered
+from stockloom.llm.words import encoder
 
 BLOCK, SEGMENT, QUANTILE = 4096, 1 << 18, 0.9
 #: Words whose ids a worker keeps; more are tokenized anew.
@@ -182,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard, segment, first = _words(model.value), TaskContext.get().partitionId(), 0, 0
+        coder, shard, segment, first = encoder(model.value), TaskContext.get().partitionId(), 0, 0
         docs_now, ids_now, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -192,14 +193,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays(columns, names=["shard", "segment", "first", "n_ids", "doc_ids", "lengths", "value"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(end_id))
-                docs_now.append(doc_id)
-                ids_now.append(ids)
-                size += len(ids)
-                if size >= SEGMENT:
-                    yield flush()
-                    segment, first, docs_now, ids_now, size = segment + 1, first + size, [], [], 0
+            doc_ids = b.column("doc_id").to_pylist()
+            for low, found, ends in coder.encode(b.column("text")):
+                for doc_id, own in zip(doc_ids[low:low + len(ends)], np.split(found, ends[:-1])):
+                    docs_now.append(doc_id)
+                    ids_now.append(np.append(own, np.uint32(end_id)))
+                    size += len(own) + 1
+                    if size >= SEGMENT:
+                        yield flush()
+                        segment, first, docs_now, ids_now, size = segment + 1, first + size, [], [], 0
         if docs_now:
             yield flush()
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -35,10 +36,16 @@ def tokenizer():
 def test_words_encode_as_the_tokenizer(tokenizer):
     rng = random.Random(1)
     words = token_blocks._words(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    coder = token_blocks.encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    texts = []
     signs = ["a", "The", "'s", " ", " ", "\n", ".", "ö", "1", "½", "\t", " ", "<|endoftext|>", "日", "\x00", "x\x1c", ", ", " "]
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 9)))
         assert words.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        texts.append(text)
+    for _low, found, ends in coder.encode(pa.array(texts)):  # what write_tokens runs
+        for text, own in zip(texts[_low:], np.split(found, ends[:-1])):
+            assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_blocks_round_trip():
