@@ -78,8 +78,9 @@ def plain_rules(baskets, bad, support, confidence):
         for t in sorted(rows):
             both = have & rows[t]
             if (not own or t > own[-1]) and both.bit_count() >= support * n and (both & wrong).bit_count() >= support * confidence * n:
-                queue.append(((*own, t), both))
                 share = (both & wrong).bit_count() / both.bit_count()
+                if share < 1:  # a rule without exception implies all longer ones
+                    queue.append(((*own, t), both))
                 if share >= confidence:
                     found[frozenset((*own, t))] = share
     return {x: c for x, c in found.items() if not any(y < x and found[y] >= c for y in found)}
