@@ -8,7 +8,8 @@ first.
 
 White space only leads a piece, so a text falls into chunks (a run of spaces and
 the word after it) that no piece crosses, and a segmentation of the text is one
-of each chunk. Chunks are searched once and kept; the N best of a text follow
+of each chunk. The different chunks of a run of texts are searched together
+(``lattice``) and kept for the task; the N best of a text follow
 from its chunks' N best by a search over the losses of their alternatives. If a
 vocabulary has pieces that cross, texts are one chunk each.
 
@@ -21,8 +22,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
@@ -34,15 +35,21 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.llm.lattice import Lattice
+from stockloom.llm.words import chunks, flat
+
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-RUNS = re.compile(" *[^ ]+| +")
 #: Stands for a SPACE sign of the text itself, which becomes bytes. (A text with this noncharacter decodes it as that sign.)
 LITERAL = "\U0010ffff"
 #: A character without a piece costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks that a worker keeps; more are searched anew.
-KEPT = 700_000
+#: Bytes of chunks that a task keeps between runs of texts, and about how many one takes beside its letters and ways.
+KEPT, EACH = 96 << 20, 180
+#: Bytes of text that are cut at a time (a longer text is not split), and characters of the chunks that are searched together.
+RUN, LONGEST = 4 << 20, 64
+#: Parts of chunks that ``Pieces`` keeps.
+PARTS_KEPT = 100_000
 
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -157,7 +164,7 @@ class Pieces:
         for part in self.parts(text):
             got = self.known.get(part)
             if got is None or len(got) < n and got[-1] is not None:
-                if len(self.known) * 2 >= KEPT:
+                if len(self.known) >= PARTS_KEPT:
                     self.known.clear()
                 got = self.search(part, n)
                 self.known[part] = got if len(got) == n else [*got, None]  # None: there are no more
@@ -225,103 +232,116 @@ def _after(choice, scores):
             yield (*choice[:-1], (k + 1, 1))
 
 
-class Ways:
-    """Lists of ways by number; flat arrays, so that there is little to collect."""
-
-    def __init__(self):
-        self.ids, self.first, self.score = array("i"), array("q", [0]), array("d")  # of each way
-        self.begin, self.loss = array("q", [0]), array("d")  # of each list: its first way, and what its second way loses
-
-    def add(self, ways: list[Way]) -> int:
-        for score, ids in ways:
-            self.ids.extend(ids)
-            self.first.append(len(self.ids))
-            self.score.append(score)
-        self.begin.append(len(self.score))
-        self.loss.append(ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf)
-        return len(self.loss) - 1
-
-    def __getitem__(self, k: int) -> list[Way]:
-        return [(self.score[w], tuple(self.ids[self.first[w]:self.first[w + 1]])) for w in range(self.begin[k], self.begin[k + 1])]
+class Table:
+    """The ``n`` best ways of chunks, by number, and those of whole texts from them.
 
-
-class Table(dict):
-    """Numbers of chunks, and by number their ``n`` best ways.
-
-    A key is the chunk without its one space, or with LITERAL before it where it has
-    none or several. Unknown chunks are searched when they are looked up: each different
-    part of them once, and the parts' ways are merged.
+    Texts are cut into chunks on arrays. The different chunks of a run that are not known yet are
+    searched together (``Lattice``); one of more than ``LONGEST`` characters is searched by itself,
+    each part of it that no piece crosses. Kept chunks take about ``KEPT`` bytes at most between runs.
     """
 
     def __init__(self, pieces: Pieces, n: int = 2):
-        super().__init__()
         self.pieces, self.n = pieces, n
+        self.lattice = Lattice(pieces.scores, pieces.ids, pieces.byte_ids, pieces.unknown)
         self.lengths = np.array([len(t) for t in pieces.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(pieces.texts), np.uint8)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.ways = Ways()
-        self.parts: dict[str, int] = {}
-        self.part_ways = Ways()
-
-    def _part(self, text: str) -> list[Way]:
-        k = self.parts.get(text)
-        if k is not None:
-            return self.part_ways[k]
-        ways = self.pieces.search(text, self.n)
-        self.parts[text] = self.part_ways.add(ways)
-        return ways
-
-    def __missing__(self, key: str) -> int:
-        text = marked(key[1:]) if key[:1] == LITERAL else SPACE + marked(key)
-        parts = [self._part(p) for p in self.pieces.parts(text)]
-        self[key] = k = self.ways.add(parts[0] if len(parts) == 1 else best_of(parts, self.n))
-        return k
-
-    def encode(self, text: str) -> tuple[np.ndarray, float, float]:
-        """Best ids, their score, and the n-th best's score (-inf if there is none)."""
-        found = self.encode_ways(text)
-        return found[0][1], found[0][0], found[self.n - 1][0] if len(found) >= self.n else -math.inf
-
-    def encode_ways(self, text: str) -> list[tuple[float, np.ndarray]]:
-        """The ``n`` best segmentations, or as many as there are: (score, ids), best first."""
-        if not text or not self.pieces.separable:
-            return [(score, np.array(ids, np.int32)) for score, ids in self.pieces.encode(text, self.n)]
-        words = text.split(" ")
-        if "" in words:  # runs of spaces, or a space at an end
-            words = [c[1:] if c[0] == " " and c[1:2] not in (" ", "") else LITERAL + c for c in RUNS.findall(text)]
-        else:
-            words[0] = LITERAL + words[0]
-        if len(self) > KEPT:
-            self._empty()
-        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        kept = self.ways
-        first, score, begin, loss = np.frombuffer(kept.first, np.int64), np.frombuffer(kept.score), np.frombuffer(kept.begin, np.int64), np.frombuffer(kept.loss)
-        w, loss = begin[k], loss[k]
-        starts, lengths = first[w], first[w + 1] - first[w]
-        best = gathered(np.frombuffer(kept.ids, np.int32), starts, lengths)
-        total = float(score[w].sum())
-        del first, score, begin  # arrays that are looked at cannot grow
+        self.empty()
+
+    def empty(self) -> None:
+        """Forget all chunks."""
+        self.known: dict[str, int] = {}
+        self.pieces.known.clear()
+        self.used, self.n_lists, self.n_ways, self.n_ids = 0, 0, 0, 0
+        self.ids, self.first, self.score = np.zeros(1 << 18, np.int32), np.zeros(1 << 17, np.int64), np.zeros(1 << 17)  # of each way
+        self.begin, self.loss = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)  # of each list: its first way, and what its second way loses
+
+    def _add(self, words: list[str], counts: np.ndarray, scores: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """``words`` with their ways: how many each has, and of all ways in a row the scores, numbers of ids and ids."""
+        lists, ways, size = self.n_lists + len(words), self.n_ways + len(scores), self.n_ids + len(ids)
+        for name, need in (("ids", size), ("first", ways + 1), ("score", ways), ("begin", lists + 1), ("loss", lists)):
+            if need > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate([old, np.zeros(need, old.dtype)]))
+        self.ids[self.n_ids:size], self.score[self.n_ways:ways] = ids, scores
+        self.first[self.n_ways + 1:ways + 1] = self.n_ids + np.cumsum(sizes)
+        ends = np.cumsum(counts)
+        self.begin[self.n_lists + 1:lists + 1] = self.n_ways + ends
+        second = np.minimum(ends - counts + 1, len(scores) - 1)
+        self.loss[self.n_lists:lists] = np.where(counts > 1, scores[ends - counts] - scores[second], math.inf)
+        self.known.update(zip(words, range(self.n_lists, lists)))
+        self.n_lists, self.n_ways, self.n_ids = lists, ways, size
+        self.used += sum(map(len, words)) + len(words) * EACH + len(scores) * 16 + len(ids) * 4
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if self.used > KEPT:
+            self.empty()
+        new = [w for w in words if w not in self.known]
+        for group in self.lattice.groups([w for w in new if len(w) <= LONGEST], self.n):
+            self._add(*group)
+        for w in new:
+            if len(w) > LONGEST:
+                ways = self.pieces.chunk(marked(w), self.n)
+                sizes = np.array([len(ids) for _, ids in ways])
+                self._add([w], np.array([len(ways)]), np.array([score for score, _ in ways]), sizes, np.array([i for _, ids in ways for i in ids], np.int32))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[int, list]]:
+        """For runs of ``texts``: the first one's row, and the ``n`` best ways of each, or as many as there are: (score, ids), best first. Null has None."""
+        for low, run in chunks(texts, RUN):
+            if self.pieces.separable:
+                yield low, self._run(run)
+            else:
+                yield low, [None if t is None else [(score, np.array(ids, np.int32)) for score, ids in self.pieces.encode(t, self.n)] for t in run.to_pylist()]
+
+    def _run(self, texts: pa.Array) -> list:
+        data, at, buffer = flat(texts)
+        cut = data == 32
+        cut[1:] &= data[:-1] != 32
+        cut[at[:-1][at[:-1] < at[1:]]] = True  # texts start chunks too
+        starts = np.flatnonzero(cut)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), buffer).dictionary_encode()
+        k = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        way = self.begin[k]
+        start, size, score, loss = self.first[way], self.first[way + 1] - self.first[way], self.score[way], self.loss[k]
+        ids = gathered(self.ids, start, size)
+        upto, ends = np.searchsorted(starts, at), np.append(0, np.cumsum(size))
+        return [self._text(ids[ends[a]:ends[b]], k[a:b], size[a:b], score[a:b], loss[a:b]) if valid else None
+                for a, b, valid in zip(upto[:-1].tolist(), upto[1:].tolist(), texts.is_valid().to_pylist())]
+
+    def _text(self, best: np.ndarray, k: np.ndarray, size: np.ndarray, score: np.ndarray, loss: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """Ways of a text, from its best one and its chunks' numbers, sizes, scores and losses. An empty text has one, without ids."""
+        total = float(score.sum())
+        if not len(k) or self.n == 1:
+            return [(total, best)]
         # Only the n - 1 chunks whose second way loses least can differ from their best.
         open_ = [int(loss.argmin())] if self.n == 2 else np.argsort(loss, kind="stable")[:self.n - 1].tolist()
         open_ = [i for i in open_ if loss[i] < math.inf]
-        ways = [kept[k[i]] for i in open_]
+        ways = [self[k[i]] for i in open_]
         out, ends = [], None
         for lost, choice in choices([[x[0] for x in p] for p in ways], self.n):
             ids = best
             if choice:
-                ends = np.cumsum(lengths) if ends is None else ends
+                ends = np.cumsum(size) if ends is None else ends
                 cut, at = [], 0
-                for i, way in sorted((open_[c], ways[c][r][1]) for c, r in choice):
-                    cut += [best[at:ends[i] - lengths[i]], np.array(way, np.int32)]
+                for i, way in sorted(((open_[c], ways[c][r][1]) for c, r in choice), key=lambda x: x[0]):
+                    cut += [best[at:ends[i] - size[i]], way]
                     at = ends[i]
                 ids = np.concatenate([*cut, best[at:]])
             out.append((total - lost, ids))
         return out
 
+    def __getitem__(self, k: int) -> list[tuple[float, np.ndarray]]:
+        return [(float(self.score[w]), self.ids[self.first[w]:self.first[w + 1]]) for w in range(self.begin[k], self.begin[k + 1])]
+
+    def encode_ways(self, text: str) -> list[tuple[float, np.ndarray]]:
+        """The ways of one text."""
+        return next(self.runs(pa.array([text], pa.string())))[1][0]
+
+    def encode(self, text: str) -> tuple[np.ndarray, float, float]:
+        """Best ids, their score, and the n-th best's score (-inf if there is none)."""
+        found = self.encode_ways(text)
+        return found[0][1], found[0][0], found[self.n - 1][0] if len(found) >= self.n else -math.inf
+
     def decoded(self, ids: np.ndarray) -> bytes:
         return gathered(self.bytes, self.starts[ids], self.lengths[ids]).tobytes()
 
@@ -337,6 +357,17 @@ def _table(model: bytes, n: int) -> Table:
     return Table(_pieces(model), n)
 
 
+@contextmanager
+def _task_table(model: bytes, n: int) -> Iterator[Table]:
+    """The worker's table, emptied when the task ends: workers are used again by other stages."""
+    table = _table(model, n)
+    try:
+        yield table
+    finally:
+        table.empty()
+        pa.default_memory_pool().release_unused()
+
+
 @lru_cache(maxsize=2)
 def _pieces(model: bytes) -> Pieces:
     return Pieces.read(model)
@@ -367,11 +398,13 @@ def segment(docs: DataFrame, model_path: str, n: int = 2, all_ways: bool = False
         return pa.ListArray.from_arrays(pa.array([None if f is None else e for f, e in zip(found, ends)] + ends[-1:], pa.int32()), ways)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model.value, n)
+        with _task_table(model.value, n) as table:
+            yield from pieces_of(batches, table)
+
+    def pieces_of(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):  # a batch of long texts is put out in parts
-                part = b.slice(at, 500)
-                found = [None if t is None else table.encode_ways(t) for t in part.column("text").to_pylist()]
+            for at, found in table.runs(b.column("text")):  # a batch of long texts is put out in parts
+                part = b.slice(at, len(found))
                 best = [None if f is None else f[0] for f in found]
                 ids, score = [f and f[1] for f in best], [f and f[0] for f in best]
                 nxt = [f[n - 1][0] if f is not None and len(f) >= n else None for f in found]
@@ -394,10 +427,9 @@ def digest(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     crc = lambda ids: zlib.crc32(ids.astype("<i4").tobytes())
 
-    def row(text: str | None, table: Table):
+    def row(text: str | None, ways: list | None, table: Table):
         if text is None:
             return 0, 0, None, None, True, []
-        ways = table.encode_ways(text)
         score, ids = ways[0]
         sums = [crc(w[1]) for w in ways]
         return len(ids), sums[0], score, ways[n - 1][0] if len(ways) >= n else None, table.decoded(ids) == text.encode("utf-8", "surrogatepass"), sums
@@ -405,10 +437,12 @@ def digest(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
     kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "next_score": pa.float64(), "exact": pa.bool_(), "ways_crc32": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model.value, n)
-        for b in batches:
-            found = list(zip(*[row(t, table) for t in b.column("text").to_pylist()])) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v, k) for v, k in zip(found, kinds.values())]], names=["doc_id", *kinds])
+        with _task_table(model.value, n) as table:
+            for b in batches:
+                for at, ways in table.runs(b.column("text")):
+                    part = b.slice(at, len(ways))
+                    found = list(zip(*[row(t, w, table) for t, w in zip(part.column("text").to_pylist(), ways)]))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(v, k) for v, k in zip(found, kinds.values())]], names=["doc_id", *kinds])
 
     schema = docs.select("doc_id").withColumns({"n_pieces": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long"), "score": F.lit(None).cast("double"), "next_score": F.lit(None).cast("double"), "exact": F.lit(True), "ways_crc32": F.lit(None).cast("array<bigint>")}).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema)

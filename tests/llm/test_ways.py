@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from stockloom.llm import nbest
@@ -20,13 +21,17 @@ def texts(k):
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_table_gives_the_n_best_ways(n, monkeypatch):
     pieces = nbest.Pieces.read(open(PATH, "rb").read())
-    searched, search = [], nbest.Pieces.search
-    monkeypatch.setattr(nbest.Pieces, "search", lambda self, text, n: searched.append(text) or search(self, text, n))
+    searched, search = [], nbest.Lattice.search
+    monkeypatch.setattr(nbest.Lattice, "search", lambda self, words, n: searched.extend(words) or search(self, words, n))
+    monkeypatch.setattr(nbest, "LONGEST", 40)
     table = nbest.Table(pieces, n)
-    for text in texts(150):
-        got = table.encode_ways(text)
-        assert searched or not text
-        want = [(s, ids) for s, ids in nbest.best_of([search(pieces, c, n) for c in nbest.CHUNKS.findall(nbest.marked(text))], n)] if text else [(0.0, ())]
+    every = [*texts(150), "ab" * 50 + "日" * 60 + " x", "   ", nbest.SPACE, "a" + nbest.SPACE + " b", ""]
+    together = [ways for _, run in table.runs(pa.array(every)) for ways in run]
+    assert len(searched) == len(set(searched))
+    for text, got in zip(every, together):
+        alone = table.encode_ways(text)
+        assert [(s, ids.tolist()) for s, ids in alone] == [(s, ids.tolist()) for s, ids in got]
+        want = nbest.best_of([pieces.search(c, n) for c in nbest.CHUNKS.findall(nbest.marked(text))], n) if text else [(0.0, ())]
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-3), repr(text)
         assert len({tuple(ids.tolist()) for _, ids in got}) == len(got)
         for score, ids in got:
@@ -34,6 +39,21 @@ def test_table_gives_the_n_best_ways(n, monkeypatch):
     assert len(searched) == len(set(searched))
 
 
+def test_kept_chunks_are_bounded_and_forgotten(monkeypatch):
+    pieces = nbest.Pieces.read(open(PATH, "rb").read())
+    want = [nbest.Table(pieces, 2).encode_ways(t)[0][1].tolist() for t in texts(40)]
+    monkeypatch.setattr(nbest, "KEPT", 1)
+    monkeypatch.setattr(nbest, "RUN", 50)
+    table = nbest.Table(pieces, 2)
+    found = [ways for _, run in table.runs(pa.array([None, *texts(40)])) for ways in run]
+    assert found[0] is None and [ways[0][1].tolist() for ways in found[1:]] == want
+    model = open(PATH, "rb").read()
+    with nbest._task_table(model, 2) as table:
+        table.encode_ways("the winter")
+        assert table.known
+    assert not table.known and not table.used
+
+
 def test_queries_return_all_ways(spark):
     rows = list(enumerate([*texts(20), None, "", "the winter"]))
     docs = spark.createDataFrame(rows, "doc_id int, text string")
