@@ -2,7 +2,8 @@
 
 import random
 
-from stockloom.llm import similar
+import corpus_pipeline
+from stockloom.llm import simhash, similar
 
 
 def plain(texts, length, least):
@@ -62,3 +63,20 @@ def test_threshold_is_exact(spark):
     texts = {0: " ".join(words), 1: " ".join(words[:12]), 2: " ".join(words[5:]), 3: " ".join([*words[1:], "y"])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
     assert {r.doc_id for r in similar.one_of_each(docs, 5, 0.8).collect()} == plain(texts, 5, (4, 5)) == {0, 2}
+
+
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    rnd, near, tried = random.Random(8), simhash.near_links, []
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    texts = {0: " ".join(base), 1: edited(rnd, base, 1), 2: "other words " * 3, 3: edited(rnd, base, 6), 4: None}
+
+    def spied(nodes, *rest):
+        tried.append(({r.f0 for r in nodes.collect()}, out := near(nodes, *rest), out.collect()))
+        return out
+
+    monkeypatch.setattr(simhash, "near_links", spied)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert got == plain(texts, 5, (4, 5)) == {0, 2, 4}
+    (prints, _, pairs), = tried
+    assert prints == {simhash.fingerprint(t.encode(), 5)[0] for t in texts.values() if t} and pairs
