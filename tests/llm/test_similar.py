@@ -1,6 +1,10 @@
 """Near copies against Jaccard similarities of all pairs."""
 
 import random
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from stockloom.llm import simhash, similar
@@ -80,3 +84,14 @@ def test_stage_links_by_fingerprints_first(spark, monkeypatch):
     assert got == plain(texts, 5, (4, 5)) == {0, 2, 4}
     (prints, _, pairs), = tried
     assert prints == {simhash.fingerprint(t.encode(), 5)[0] for t in texts.values() if t} and pairs
+
+
+def test_sketches_keep_similar_pairs_and_drop_templates():
+    rnd = random.Random(3)
+    sets = lambda common, own: [np.array([rnd.getrandbits(63) for _ in range(n)], np.int64) for n in (common, own, own)]
+    for common, own, similar_sets in [(800, 100, True), (80, 10, True), (8, 1, True), (8000, 1000, True), (300, 100, False), (500, 0, True)]:
+        both, a, b = sets(common, own)
+        x, y = np.concatenate([both, a]), np.concatenate([both, b])
+        columns = {"a": [1], "b": [2], "size_a": [len(x)], "size_b": [len(y)], "bits_a": [similar._sketch(x)], "bits_b": [similar._sketch(y)]}
+        out = list(similar._possible(Fraction(4, 5))([pa.RecordBatch.from_pydict(columns)]))
+        assert sum(o.num_rows for o in out) == similar_sets
