@@ -42,7 +42,7 @@ INDEX = np.dtype([("start", "<u4"), ("low", "<u4"), ("n", "<u2"), ("width", "u1"
 
 
 def _cell(width: int) -> int:
-    """Bytes of the integers that bits are cut from and put into."""
+    """Bytes of the integers that bits are cut from."""
     return 2 if width <= 16 else 4
 
 
@@ -75,11 +75,14 @@ def unpack_block(value: bytes, row: np.void) -> np.ndarray:
     """Ids of one block; nothing else of the value is read."""
     n, width, start = int(row["n"]), int(row["width"]), int(row["start"])
     size = (n * width + 7) // 8
-    cell = _cell(width)
-    bits = np.zeros((n, 8 * cell), np.uint8)
-    packed = np.frombuffer(value, np.uint8, size, start)
-    bits[:, :width] = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
-    out = np.packbits(bits, axis=1, bitorder="little").view(f"<u{cell}").ravel().astype("<u4")
+    out = np.zeros(-(-n // 8) * 8, "<u4")
+    if width:  # eight ids take ``width`` bytes; the k-th of each eight starts at the same bit
+        packed = value[start:start + size] + bytes(width + 8)
+        for k in range(8):
+            byte, bit = divmod(k * width, 8)
+            near = np.ndarray(len(out) // 8, "<u8", packed, byte, (width,))
+            out[k::8] = near >> np.uint64(bit) & np.uint64((1 << width) - 1)
+    out = out[:n]
     if k := int(row["exceptions"]):
         at = np.frombuffer(value, "<u2", k, start + size)
         out[at] |= np.frombuffer(value, "<u4", k, start + size + 2 * k) << np.uint32(width)

@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts, with each different word of a batch encoded once.
 
-A text is cut before each space and line feed. Where such a gap stands alone, no
-token reaches over the cut, so the ids of a text are those of its words in a row. The
+A text is cut before each space and line feed, and between an ASCII letter or digit and
+an ASCII sign. Where such a gap stands alone, no token reaches over the cut (the pre-tokenizer
+ends letters and digits at a sign), so the ids of a text are those of its words in a row. The
 different words of a batch are found by Arrow and encoded by the tokenizer itself; all
 else is done on arrays. Texts where that does not hold are encoded as a whole: gaps
 that touch, white space of another kind, and strings of added tokens.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ CHUNK = 8 << 20
 CONTROLS = [9, 11, 12, 13, 28, 29, 30, 31]
 WIDE = {0xC2: [(0x85,), (0xA0,)], 0xE1: [(0x9A, 0x80)], 0xE2: [*((0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x81, 0x9F)], 0xE3: [(0x80, 0x80)]}
 
+#: Per byte, whether it is an ASCII letter or digit, and whether it is another visible ASCII character.
+ALNUM = np.array([chr(x).isalnum() and x < 128 for x in range(256)])
+SIGN = np.array([32 < x < 127 and not chr(x).isalnum() for x in range(256)])
+
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places first[0] .. first[0] + size[0] - 1, first[1] .. and so on."""
@@ -74,7 +80,7 @@ class Encoder:
         for name, need in (("first", n + 1), ("ids", n_ids)):
             if need > len(old := getattr(self, name)):
                 setattr(self, name, np.concatenate([old, np.zeros(need, old.dtype)]))
-        self.ids[self.n_ids:n_ids] = np.fromiter((i for x in found for i in x), np.uint32, n_ids - self.n_ids)
+        self.ids[self.n_ids:n_ids] = np.fromiter(chain.from_iterable(found), np.uint32, n_ids - self.n_ids)
         self.first[self.n + 1:n + 1] = self.n_ids + np.cumsum(sizes)
         self.known.update(zip(words, range(self.n, n)))
         self.bytes += sum(map(len, words)) + len(words) * EACH
@@ -83,10 +89,12 @@ class Encoder:
     def _numbers(self, words: list[str]) -> np.ndarray:
         if self.bytes > KEPT:
             self._empty()
-        get = self.known.get
-        if new := [w for w in words if get(w) is None]:
-            self._keep(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        k = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            k[new] = np.arange(self.n, self.n + len(new))
+            self._keep([words[i] for i in new.tolist()])
+        return k
 
     def _odd(self, texts: pa.Array, data: np.ndarray, at: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """Which texts have to be encoded as a whole."""
@@ -113,13 +121,14 @@ class Encoder:
             parts, sizes = iter(np.split(rest, ends[:-1])) if len(ends) else iter(()), iter(whole)
             out = [next(sizes) if x else next(parts) for x in odd]
             return np.concatenate(out), np.cumsum([len(x) for x in out])
+        gap[1:] |= SIGN[data[1:]] & ALNUM[data[:-1]]
         gap[at[:-1][at[:-1] < at[1:]]] = True  # texts start words too
         starts = np.flatnonzero(gap)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         cuts = np.append(starts, len(data)).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), buffer).dictionary_encode()
-        k = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        k = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         first, size = self.first[k], self.first[k + 1] - self.first[k]
         upto = np.append(0, np.cumsum(size))
         return self.ids[ragged(first, size)], upto[np.searchsorted(starts, at[1:])]

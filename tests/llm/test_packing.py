@@ -1,5 +1,6 @@
 """Packing: the plan on histograms, and all pieces against plain encoding."""
 
+import random
 import zlib
 
 import numpy as np
@@ -94,3 +95,15 @@ def test_pieces_against_plain_encoding(spark):
 
 def test_no_documents(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_words_are_cut_at_signs_and_ids_stay():
+    coder = words.Encoder(open(FILE, encoding="utf-8").read())
+    encoded = lambda texts: [p.tolist() for _, ids, ends in coder.encode(pa.array(texts)) for p in np.split(ids, ends[:-1])]
+    texts = [" ".join(f"w{chr(97 + i)}rd{sign}" for i in range(20)) for sign in ",.;!"]
+    assert encoded(texts) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.n < 80  # with its sign, each word would be another one
+    rnd = random.Random(4)
+    letters = ["a", "Z", "s", "t", "re", "ll", "'", "9", ".", ",", "é", "—", "日", " ", "_", "\x00", "\n", "$", "²", "٣", "x"]
+    texts = ["".join(rnd.choices(letters, k=30)) for _ in range(2000)] + ["it's 3.5%, don't'sve", "1,000.50$ a--b", "x<|endoftext|>.y", ""]
+    assert encoded(texts) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
