@@ -35,6 +35,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.llm.common import released
 from stockloom.llm.lattice import Lattice
 from stockloom.llm.words import chunks, flat
 
@@ -397,6 +398,7 @@ def segment(docs: DataFrame, model_path: str, n: int = 2, all_ways: bool = False
         ways = pa.StructArray.from_arrays([pa.array([w[0] for w in flat], pa.float64()), pa.array([w[1] for w in flat], lists)], names=["score", "ids"])
         return pa.ListArray.from_arrays(pa.array([None if f is None else e for f, e in zip(found, ends)] + ends[-1:], pa.int32()), ways)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _task_table(model.value, n) as table:
             yield from pieces_of(batches, table)
@@ -436,6 +438,7 @@ def digest(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
 
     kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "next_score": pa.float64(), "exact": pa.bool_(), "ways_crc32": pa.list_(pa.int64())}
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _task_table(model.value, n) as table:
             for b in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import stage
+from stockloom.llm.common import released, stage
 from stockloom.llm.components import components
 from stockloom.llm.similar import one_of_each  # noqa: F401
 
@@ -67,6 +67,7 @@ def with_fingerprints(docs: DataFrame, shingle: int, names: Sequence[str] = ("fi
     rest = docs.drop("text")
     columns, schema = rest.columns, rest.withColumns({c: F.lit(0).cast("long") for c in names}).schema
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(x.as_py(), shingle, k) for x in b.column("text").cast(pa.binary())], np.int64).reshape(-1, k)
@@ -226,6 +227,7 @@ def _of_buckets(cover: Covering):
             b.append(node[own][q])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []  # the bucket that may go on in the next batch
         for batch in batches:

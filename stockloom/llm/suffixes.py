@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import free_name, stage
+from stockloom.llm.common import free_name, released, stage
 
 LENGTH = 200
 #: Bytes of texts hashed at once, and of regions in one suffix array.
@@ -157,6 +157,7 @@ def _find(length: int):
             key, size, a, b = np.unique(np.stack([keys_[own], sizes[own], a - base, b - base]), axis=1)
             yield _rows(key.view(np.uint64), np.zeros(len(a)), key, size, a, b, np.ones(len(a), bool), True)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, held = [], [], 0
@@ -176,6 +177,7 @@ def _find(length: int):
     return run
 
 
+@released
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and region to runs that go (``covered``), and each different region of an anchor that has several.
 
@@ -407,6 +409,7 @@ def _search(length: int):
                 _, once = np.unique(signs, return_index=True)
                 yield _runs(key[once], [p[i][1] for i in row[once]], at[once], at[once] + length, signs[once], flags[once])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last, held = [], None, 0
         for batch in batches:
@@ -431,6 +434,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.concatenate([[0], np.cumsum(sizes)]), fields
 
 
+@released
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of texts: one row each, with its bytes."""
     for batch in batches:
@@ -497,6 +501,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, task: int = TASK, dige
     names = shape.columns
     out = shape.withColumns(({} if digest else {"kept": F.lit(None).cast("string")}) | {c: F.lit(0).cast("long") for c in added[1:4]} | {"kept_sha256": F.lit("")}).schema
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, total, gone, spans, sha = [], [], [], [], []

@@ -2,9 +2,10 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stockloom.llm import similar
+from stockloom.llm import similar, suffixes
 from stockloom.llm.common import CLEANUP, stage, stage_by
 
 
@@ -37,3 +38,15 @@ def test_texts_are_not_shuffled_to_pick_some(spark):
         assert {r.doc_id for r in left.collect()} == {*range(50)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_memory_of_arrow_goes_back_when_a_task_ends(monkeypatch):
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_pydict({"node": [1], "text": ["a b c"]})
+    for run in (similar._sketches(5), suffixes._find(200)):
+        rows = run(iter([batch] if run.__qualname__.startswith("_sketches") else []))
+        before = len(calls)
+        list(rows)
+        assert len(calls) == before + 1
