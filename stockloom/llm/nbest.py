@@ -35,7 +35,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import released
+from stockloom.llm.common import give_back, released
 from stockloom.llm.lattice import Lattice
 from stockloom.llm.words import chunks, flat
 
@@ -46,9 +46,9 @@ LITERAL = "\U0010ffff"
 #: A character without a piece costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of chunks that a task keeps between runs of texts, and about how many one takes beside its letters and ways.
-KEPT, EACH = 96 << 20, 180
+KEPT, EACH = 48 << 20, 180
 #: Bytes of text that are cut at a time (a longer text is not split), and characters of the chunks that are searched together.
-RUN, LONGEST = 4 << 20, 64
+RUN, LONGEST = 1 << 20, 64
 #: Parts of chunks that ``Pieces`` keeps.
 PARTS_KEPT = 100_000
 
@@ -366,7 +366,7 @@ def _task_table(model: bytes, n: int) -> Iterator[Table]:
         yield table
     finally:
         table.empty()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 @lru_cache(maxsize=2)

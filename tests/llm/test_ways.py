@@ -1,14 +1,16 @@
 """All n segmentations, by the search over the lattice."""
 
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from stockloom.llm import nbest
+from stockloom.llm import common, nbest
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -54,6 +56,30 @@ def test_kept_chunks_are_bounded_and_forgotten(monkeypatch):
     assert not table.known and not table.used
 
 
+def test_batches_are_searched_in_small_runs():
+    pieces = nbest.Pieces.read(open(PATH, "rb").read())
+    batch = pa.array(["the winter was cold " * 5000] * 30)
+    sizes = [len(run) for _, run in nbest.Table(pieces, 2).runs(batch)]
+    assert sum(sizes) == 30 and max(sizes) * 100_000 <= 1 << 20
+
+
+def test_workers_give_back_what_they_keep_unused():
+    """Freed blocks below one that is still used stay with the C library, unless it is told to return them."""
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    @common.released
+    def run(batches):
+        blocks = [np.ones(6000) for _ in range(4000)]
+        last.append(blocks[-1])
+        yield from batches
+
+    last: list = []
+    steps = run(iter([1]))
+    next(steps)
+    before = held()
+    assert list(steps) == [] and held() < before - 100
+
+
 def test_queries_return_all_ways(spark):
     rows = list(enumerate([*texts(20), None, "", "the winter"]))
     docs = spark.createDataFrame(rows, "doc_id int, text string")
