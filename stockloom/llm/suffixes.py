@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from stockloom.llm.common import free_name, released, stage
 
 LENGTH = 200
-#: Bytes of texts hashed at once, and of regions in one suffix array.
-GROUP, SHARD = 1 << 20, 900_000
+#: Bytes of texts hashed at once, and of regions in one suffix array (half as many more where they do not divide evenly).
+GROUP, SHARD = 1 << 20, 400_000
 #: Regions of one anchor that one task takes.
 TASK = 16384
 U = np.uint64
@@ -234,11 +234,12 @@ class Shard:
     def __init__(self, regions: list[bytes], length: int):
         self.length = length
         sizes = np.array([len(r) for r in regions], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes + 8)])[:-1]
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 8)])[:-1]  # below 2 ** 31, as all places
         self.ends = self.starts + sizes
         self.text = np.frombuffer(b"".join(r + b"\0" * 8 for r in regions) + b"\0" * 8, np.uint8)
         n = len(self.text) - 8
-        self.end = np.repeat(self.ends, sizes + 8)[:n]
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 8)
+        self.end = self.ends.astype(np.int32)[self.row]
         word = self.text.astype(np.uint64)
         for size in (1, 2, 4):  # the eight bytes from each place, first byte highest
             word = (word[:-size] << U(8 * size)) | word[size:]
@@ -264,27 +265,27 @@ class Shard:
         for k in range(h):
             key = (key << width) | code[k:k + n]
         key, order = self._by(key[places], places, bits)
+        order = order.astype(np.int32)
         new = np.r_[True, key[1:] != key[:-1]]
         group = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rank = np.zeros(n + 1, np.int64)
+        rank = np.zeros(n + 1, np.int32)
         rank[order] = group + 1  # 0 is the end of a region
+        open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # groups of one are done
+        group, at = group[open_], order[open_]
         while h < longest:
-            open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # groups of one are done
-            at = order[open_]
             more = at + h <= self.end[at]  # and so are groups that are equal to the ends of their regions
-            open_, at = open_[more], at[more]
+            open_, group, at = open_[more], group[more], at[more]
             if not len(open_):
                 break
-            key, by = self._by((group[open_] << bits) | rank[at + h], np.arange(len(at)), bits)
-            order[open_] = at[by]
+            key, by = self._by((group << bits) | rank[at + h], np.arange(len(at)), bits)
+            order[open_] = at = at[by]
             split = np.r_[True, key[1:] != key[:-1]]
-            new[open_] = split
-            group[open_] = open_[np.flatnonzero(split)[np.cumsum(split) - 1]]
-            rank[order[open_]] = group[open_] + 1
+            group = open_[np.flatnonzero(split)[np.cumsum(split) - 1]]
+            rank[at] = group + 1
+            more = ~(split & np.r_[split[1:], True])
+            open_, group, at = open_[more], group[more], at[more]
             h *= 2
-        open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # equal to the ends of their regions: by place, as Kasai's bound asks
-        order[open_] = self._by(group[open_], order[open_], bits)[1]
-        return order
+        return order  # equal suffixes stay in the order of their places, as Kasai's bound asks: each sort leaves equal keys as they were
 
     @staticmethod
     def _by(key: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +302,7 @@ class Shard:
         Along a region a common prefix is at least one less than that of the place
         before; all regions go along at once.
         """
-        before = np.full(len(self.end) + 1, -1, np.int64)
+        before = np.full(len(self.end) + 1, -1, np.int32)
         before[self.order[1:]] = self.order[:-1]
         out = np.zeros(len(self.end) + 1, np.int16 if self.length < 1 << 15 else np.int64)
         by_size = np.argsort(self.starts - self.ends, kind="stable")
@@ -343,6 +344,14 @@ def _repeated(places: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(several, np.diff(np.r_[first, len(places)]))
 
 
+def divided(rows: list[tuple]) -> list[list[tuple]]:
+    """``rows`` (the last field is a region) in parts of about ``SHARD`` bytes; no part is much smaller than others, as each costs a merge with the rest."""
+    upto = np.cumsum([len(r[-1]) for r in rows])
+    count = max(1, round(int(upto[-1]) / SHARD))
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, count) / count, "right").tolist()
+    return [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)]) if a < b]
+
+
 RUN = "hash long, size int, start int, end int, signature long, several boolean"
 
 
@@ -360,34 +369,29 @@ def _search(length: int):
     def shard(rows: list[tuple]) -> tuple:
         s = Shard([r[-1] for r in rows], length)
         places, first = s.classes()
-        row = np.searchsorted(s.starts, places, "right") - 1
+        row = s.row[places]
         at = np.array([r[2] for r in rows], np.int64)[row] + places - s.starts[row]
         text = {}
         number = np.array([text.setdefault(r[:2], len(text)) for r in rows], np.int64)[row]
         return s, places, first, row, at, number << 32 | at
 
-    def put(rows, row, at, flags) -> pa.RecordBatch:
-        flags = flags & ~np.array([r[3] for r in rows], bool)[row]  # regions with a twin go whole already
-        row, at = row[flags], at[flags]
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
+    def put(rows, s: Shard, places, flags) -> pa.RecordBatch:
+        marked = np.zeros(len(s.end), bool)
+        marked[places[flags]] = True
+        places = np.flatnonzero(marked)
+        places = places[~np.array([r[3] for r in rows], bool)[s.row[places]]]  # regions with a twin go whole already
+        row = s.row[places]
+        at = np.array([r[2] for r in rows], np.int64)[row] + places - s.starts[row]
         new = np.r_[True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + length)][: len(row)]
         last = np.r_[new[1:], True][: len(row)]
         own = row[new]
         return _runs([rows[i][0] for i in own], [rows[i][1] for i in own], at[new], at[last] + length)
 
     def solve(rows: list[tuple], salted: bool) -> Iterator[pa.RecordBatch]:
-        parts, start, held = [], 0, 0
-        for i, r in enumerate(rows):
-            held += len(r[-1])
-            if held >= SHARD:
-                parts.append(rows[start:i + 1])
-                start, held = i + 1, 0
-        parts.append(rows[start:])
-        parts = [p for p in parts if p]
+        parts = divided(rows)
         if len(parts) == 1 and not salted:
-            _, places, first, row, at, place = shard(parts[0])
-            yield put(parts[0], row, at, _repeated(place, first))
+            s, places, first, _, _, place = shard(rows)
+            yield put(rows, s, places, _repeated(place, first))
             return
         done = []
         for p in parts:
@@ -396,15 +400,15 @@ def _search(length: int):
             signs = s.signatures(places[first])
             key = np.array([r[0] for r in p], np.int64)[row]
             order = np.argsort(signs)
-            done.append((p, row, at, found, key, np.repeat(signs, np.diff(np.r_[first, len(places)])), signs[order], first[order]))
-        for k, (p, row, at, found, key, signs, *_) in enumerate(done):
+            done.append((p, s, places, row, at, found, key, np.repeat(signs, np.diff(np.r_[first, len(places)])), signs[order], first[order]))
+        for k, (p, s, places, row, at, found, key, signs, *_) in enumerate(done):
             flags = found.copy()
-            for _, _, at2, found2, key2, _, sorted2, first2 in done[:k] + done[k + 1:]:
+            for _, _, _, _, at2, found2, key2, _, sorted2, first2 in done[:k] + done[k + 1:]:
                 if len(sorted2):  # merge: is the string in the other shard's sorted signatures, and at another place?
                     i = np.minimum(np.searchsorted(sorted2, signs), len(sorted2) - 1)
                     c = first2[i]
                     flags |= (sorted2[i] == signs) & (found2[c] | (key2[c] != key) | (at2[c] != at))
-            yield put(p, row, at, flags)
+            yield put(p, s, places, flags)
             if salted:
                 _, once = np.unique(signs, return_index=True)
                 yield _runs(key[once], [p[i][1] for i in row[once]], at[once], at[once] + length, signs[once], flags[once])

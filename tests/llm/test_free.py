@@ -291,6 +291,23 @@ def test_repeats(spark, monkeypatch, small):
         assert r.kept == (None if r.text is None else left.decode("utf-8", "ignore"))
 
 
+def test_whole_anchors_make_one_suffix_array(monkeypatch):
+    """Where the last anchor reaches over the limit, its rest is no suffix array of its own, and nothing is signed."""
+    rng = random.Random(4)
+    regions = [rng.randbytes(60) for _ in range(12)]
+    regions[11] = regions[10][:50] + regions[11][:10]
+    anchor = [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 4, 4]
+    batch = pa.table({"anchor": anchor, "salt": [-1] * 12, "hash": list(range(12)), "size": [60] * 12, "start": [0] * 12, "twin": [False] * 12, "raw": pa.array(regions, pa.binary())}).to_batches()[0]
+    monkeypatch.setattr(suffixes, "SHARD", 550)
+    built, signed, real = [], [], suffixes.Shard
+    sign = real.signatures
+    monkeypatch.setattr(real, "signatures", lambda *a: signed.append(a) or sign(*a))
+    monkeypatch.setattr(suffixes, "Shard", lambda *a: built.append(a) or real(*a))
+    got = pa.Table.from_batches(suffixes._search(40)(iter([batch]))).to_pylist()
+    assert len(built) == 1 and not signed
+    assert sorted((r["hash"], r["start"], r["end"]) for r in got) == [(10, 0, 50), (11, 0, 50)]
+
+
 def test_op6_query(spark):
     docs = sorted(documents(spark).items())
     raw = [(t or "").encode() for _, t in docs]
