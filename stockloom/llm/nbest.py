@@ -49,6 +49,8 @@ UNKNOWN_PENALTY = 10.0
 KEPT, EACH = 48 << 20, 180
 #: Bytes of text that are cut at a time (a longer text is not split), and characters of the chunks that are searched together.
 RUN, LONGEST = 1 << 20, 64
+#: ``RUN`` and ``KEPT`` where ids stay in the task, which leaves room for more.
+LARGE = 4 << 20, 96 << 20
 #: Parts of chunks that ``Pieces`` keeps.
 PARTS_KEPT = 100_000
 
@@ -238,11 +240,11 @@ class Table:
 
     Texts are cut into chunks on arrays. The different chunks of a run that are not known yet are
     searched together (``Lattice``); one of more than ``LONGEST`` characters is searched by itself,
-    each part of it that no piece crosses. Kept chunks take about ``KEPT`` bytes at most between runs.
+    each part of it that no piece crosses. Kept chunks take about ``kept`` bytes at most between runs.
     """
 
-    def __init__(self, pieces: Pieces, n: int = 2):
-        self.pieces, self.n = pieces, n
+    def __init__(self, pieces: Pieces, n: int = 2, run: int | None = None, kept: int | None = None):
+        self.pieces, self.n, self.run, self.kept = pieces, n, run or RUN, kept or KEPT
         self.lattice = Lattice(pieces.scores, pieces.ids, pieces.byte_ids, pieces.unknown)
         self.lengths = np.array([len(t) for t in pieces.texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
@@ -274,7 +276,7 @@ class Table:
         self.used += sum(map(len, words)) + len(words) * EACH + len(scores) * 16 + len(ids) * 4
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        if self.used > KEPT:
+        if self.used > self.kept:
             self.empty()
         new = [w for w in words if w not in self.known]
         for group in self.lattice.groups([w for w in new if len(w) <= LONGEST], self.n):
@@ -288,7 +290,7 @@ class Table:
 
     def runs(self, texts: pa.Array) -> Iterator[tuple[int, list]]:
         """For runs of ``texts``: the first one's row, and the ``n`` best ways of each, or as many as there are: (score, ids), best first. Null has None."""
-        for low, run in chunks(texts, RUN):
+        for low, run in chunks(texts, self.run):
             if self.pieces.separable:
                 yield low, self._run(run)
             else:
@@ -354,14 +356,14 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 @lru_cache(maxsize=2)
-def _table(model: bytes, n: int) -> Table:
-    return Table(_pieces(model), n)
+def _table(model: bytes, n: int, *sizes: int) -> Table:
+    return Table(_pieces(model), n, *sizes)
 
 
 @contextmanager
-def _task_table(model: bytes, n: int) -> Iterator[Table]:
+def _task_table(model: bytes, n: int, *sizes: int) -> Iterator[Table]:
     """The worker's table, emptied when the task ends: workers are used again by other stages."""
-    table = _table(model, n)
+    table = _table(model, n, *sizes)
     try:
         yield table
     finally:
@@ -440,7 +442,7 @@ def digest(docs: DataFrame, model_path: str, n: int = 2) -> DataFrame:
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _task_table(model.value, n) as table:
+        with _task_table(model.value, n, *LARGE) as table:
             for b in batches:
                 for at, ways in table.runs(b.column("text")):
                     part = b.slice(at, len(ways))
