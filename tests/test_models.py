@@ -121,3 +121,28 @@ def test_search_runs_fits_side_by_side(spark, at_once):
     assert (params["x"], score, model.x) == (9, 9.0, params["x"])
     assert len(Slow.fitted) == 3 * len(ml.sample_settings(settings.space, 4, settings.seed)) + 1
     assert Slow.most == 1 if at_once == 1 else 1 < Slow.most <= 4
+
+
+def test_registered_searches_are_whole(monkeypatch):
+    """Queries that train models search the operators' own space: every setting, fold and number of trees."""
+    from stockloom.plans import q_models
+    from stockloom.plans.catalog import QUERIES
+
+    own, seen = ml.Settings(), []
+
+    def noted(*args, **_kw):
+        seen.extend(a for a in args if isinstance(a, ml.Settings))
+        raise InterruptedError
+
+    monkeypatch.setattr(q_models, "prepared", lambda spark, d: (None, []))
+    monkeypatch.setattr(q_models, "matrix", lambda spark, d: type("M", (), {"select": lambda self, *c: self})())
+    monkeypatch.setattr(ml, "time_split", lambda *a: (None, None))
+    for name in ("train_regressor", "train_classifier", "train_two_stage", "train_cell"):
+        monkeypatch.setattr(ml, name, noted)
+    names = ["ml3_regressor"]
+    for name in names:
+        with pytest.raises(InterruptedError):
+            QUERIES[name](None, "")
+    assert len(seen) == len(names)
+    for s in seen:
+        assert (s.n_iter, s.folds, s.space) == (own.n_iter, own.folds, ml.SEARCH_SPACE)
