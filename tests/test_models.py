@@ -139,7 +139,7 @@ def test_registered_searches_are_whole(monkeypatch):
     monkeypatch.setattr(ml, "time_split", lambda *a: (None, None))
     for name in ("train_regressor", "train_classifier", "train_two_stage", "train_cell"):
         monkeypatch.setattr(ml, name, noted)
-    names = ["ml3_regressor", "ml4_classifier", "ml5_two_stage"]
+    names = ["ml3_regressor", "ml4_classifier", "ml5_two_stage", "ml6_random_search"]
     for name in names:
         with pytest.raises(InterruptedError):
             QUERIES[name](None, "")
