@@ -125,6 +125,8 @@ def test_search_runs_fits_side_by_side(spark, at_once):
 
 def test_registered_searches_are_whole(monkeypatch):
     """Queries that train models search the operators' own space: every setting, fold and number of trees."""
+    import inspect
+
     from stockloom.plans import q_models
     from stockloom.plans.catalog import QUERIES
 
@@ -139,10 +141,11 @@ def test_registered_searches_are_whole(monkeypatch):
     monkeypatch.setattr(ml, "time_split", lambda *a: (None, None))
     for name in ("train_regressor", "train_classifier", "train_two_stage", "train_cell"):
         monkeypatch.setattr(ml, name, noted)
-    names = ["ml3_regressor", "ml4_classifier", "ml5_two_stage", "ml6_random_search"]
+    names = ["ml3_regressor", "ml4_classifier", "ml5_two_stage", "ml6_random_search", "ml13_grid_routing"]
     for name in names:
         with pytest.raises(InterruptedError):
             QUERIES[name](None, "")
     assert len(seen) == len(names)
     for s in seen:
         assert (s.n_iter, s.folds, s.space) == (own.n_iter, own.folds, ml.SEARCH_SPACE)
+    assert "QUICK" not in inspect.getsource(q_models)
