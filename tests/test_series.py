@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import facts, features as ft, series
+from stockloom.operators import facts, features as ft, reduce as red, series
 
 MEASURES = "net_quantity bigint, net_sales decimal(28,4), gross_quantity bigint, gross_sales decimal(28,4), return_quantity bigint, return_sales decimal(28,4), n_invoices bigint, n_returns bigint"
 
@@ -98,3 +98,11 @@ def test_changed_frames_are_not_taken_for_the_grid(sparse, bounds):
     full = grid(sparse, bounds)
     assert series.of(full.where("year_month > '2016-01'"), facts.PAIR) is None and series.source_of(full.limit(5)) is None
     assert facts.key_audit(full.unionByName(full), [*facts.PAIR, "year_month"], "g").first().surplus_rows == full.count()
+
+
+def test_medians_only_where_a_value_is_missing(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(red, "quantiles", lambda df, columns, probs: asked.append(columns) or spark.range(1).select(*[F.lit(7.0).alias(f"{c}_p50") for c in columns]))
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, None)], "a double, b double")
+    assert [tuple(r) for r in red.fill_with_medians(df, ["a", "b"]).collect()] == [(1.0, 2.0), (3.0, 7.0)] and asked == [["b"]]
+    assert red.fill_with_medians(df, ["a"]).count() == 2 and asked == [["b"]]
